@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import personal_data
+from . import personal_data, quality
 from .common import read
 from .multi_index import nearest
 from .topk_search import top_k
@@ -20,6 +20,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(read(spark, sf_dir, "documents"))
