@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, personal_data, quality
+from . import line_dedup, near_dedup, personal_data, quality, substring_dedup
 from .common import read
 from .multi_index import nearest
 from .topk_search import top_k
@@ -40,6 +40,11 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
