@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, personal_data, quality, substring_dedup
+from . import line_dedup, near_dedup, personal_data, quality, sentence_pieces, substring_dedup
 from .common import read
 from .multi_index import nearest
 from .topk_search import top_k
 
+#: Vocabulary of the encoding.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,6 +43,11 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(read(spark, sf_dir, "documents"), PIECES)
+
+
 @query
 def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
