@@ -262,7 +262,7 @@ def _prepared(text_col: str, model: Model):
 
 def _encoded(batch: pa.Array, model: Model):
     data, at = text_buffers(batch)
-    for i, j in slices(at):
+    for i, j in slices(at, 1 << 22):
         d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
         yield i, j, d, a, *model.encode(d, a)
 
