@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, personal_data, quality, sentence_pieces, substring_dedup
+from . import line_dedup, mixing, near_dedup, personal_data, quality, sentence_pieces, substring_dedup
 from .common import read
 from .multi_index import nearest
 from .topk_search import top_k
@@ -63,6 +64,11 @@ def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(read(spark, sf_dir, "documents"), size=3, numerator=85)
 
 
+@query
+def op10_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents")).withColumn("p", F.round("p", 6))
+
+
 ORACLES["op8_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -91,3 +97,31 @@ r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN m ON m.id = n.doc_id
 """
+
+
+def _mixing_sql() -> str:
+    """Raking written out: a common table expression for each margin of each round."""
+    steps, last = [], "w"
+    for r in range(mixing.ROUNDS):
+        for m in mixing.MARGINS:
+            steps.append(f"{m}{r} AS (SELECT * REPLACE (weight * {m}_share * total / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM {last})")
+            last = f"{m}{r}"
+    shares = ", ".join(f"t_{m} AS (SELECT {m}, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS {m}_share FROM c GROUP BY {m})" for m in mixing.MARGINS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN text LIKE '%All rights reserved%' OR text LIKE '%licensed under%' THEN 'notice' WHEN regexp_matches(text, '[#$%&*]{{3}}') THEN 'marked'
+      WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shouted' ELSE 'prose' END AS topic,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS BIGINT) AS tokens
+  FROM documents
+), c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL), {shares},
+w AS (SELECT *, tokens AS weight, sum(tokens) OVER () AS total FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS p FROM {last})
+SELECT doc_id, source, lang, topic, d.tokens, round(p, 6) AS p,
+  CAST(('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 < p AS kept
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+
+ORACLES["op10_proportional_fitting"] = _mixing_sql()
