@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, personal_data, quality, sentence_pieces, substring_dedup
+from . import line_dedup, mixing, near_dedup, personal_data, quality, sentence_pieces, sharding, substring_dedup
 from .common import read
 from .multi_index import nearest
 from .topk_search import top_k
@@ -29,6 +29,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the compacted store: each document once, from a file of the last manifest."""
+    _, rows = sharding.arrive_and_compact(spark, sf_dir)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+ORACLES["op2_size_tiered_compaction"] = """
+SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(read(spark, sf_dir, "documents"))
@@ -112,7 +125,8 @@ WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     CASE WHEN text LIKE '%All rights reserved%' OR text LIKE '%licensed under%' THEN 'notice' WHEN regexp_matches(text, '[#$%&*]{{3}}') THEN 'marked'
       WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shouted' ELSE 'prose' END AS topic,
-    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS BIGINT) AS tokens
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '')) AS BIGINT) AS tokens
   FROM documents
 ), c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL), {shares},
 w AS (SELECT *, tokens AS weight, sum(tokens) OVER () AS total FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
