@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_buffers
 from .textstats import prefix, ranges
@@ -279,7 +280,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 kept = [c.slice(i, j - i) for c in b.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=[*b.schema.names[:-1], ids_col])
 
-    schema = given.schema.add(ids_col, "array<int>")
+    schema = given.schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema)
 
 
@@ -301,7 +302,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
                 texts = [t[1:] if t[:1] == " " else t for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], text_col])
 
-    return given.withColumn("__ids", F.col(ids_col)).mapInArrow(run, given.schema.add(text_col, "string"))
+    return given.withColumn("__ids", F.col(ids_col)).mapInArrow(run, given.schema.add(text_col, T.StringType()))
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
