@@ -133,7 +133,7 @@ def blocks() -> dict[str, dict[str, str]]:
     for word, hair in HAIR.items():
         out[word] = {who: f"{base}\u200d{hair}" for who, base in PEOPLE.items()}
     out["blond-haired"] = dict(BLOND)
-    out["ligature"] = {"ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "ij": "ĳ", "IJ": "Ĳ", "dz": "ǳ", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "st": "ﬆ", "ss": "ß"}
+    out["ligature"] = {"ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "ij": "ĳ", "IJ": "Ĳ", "dz": "ǳ", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "st": "ﬆ"}
     return out
 
 
