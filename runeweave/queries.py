@@ -413,10 +413,10 @@ def prefix_completion(spark, sf_dir):
 
 
 @query(f"""
-WITH n AS ({PART_NAMES}), v AS (SELECT name, text, 1 AS rank FROM n WHERE regexp_extract(name, '-(.*)$', 1) LIKE 'ste%' AND name NOT LIKE 'ste%')
+WITH n AS ({PART_NAMES}), v AS (SELECT name, text, 1 AS rank FROM n WHERE regexp_extract(name, '-(.*)$', 1) LIKE 'pla%' AND name NOT LIKE 'pla%')
 SELECT name, text, CAST(rank AS INTEGER) AS rank FROM v ORDER BY rank, length(name), unicode(text), name LIMIT 1000""")
 def loose_completion(spark, sf_dir):
-    return search.loose_completion(_part_names(spark, sf_dir), "ste")
+    return search.loose_completion(_part_names(spark, sf_dir), "pla")
 
 
 @query("SELECT style, array_to_string(list_sort(list_distinct(string_split(replace(style, ' ', '-'), '-'))), '-') AS key FROM (VALUES ('bold italic'), ('italic bold'), ('sans bold bold'), ('bold-italic sans'), ('script')) v(style)")
