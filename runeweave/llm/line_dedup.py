@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_buffers, with_side
-from .linking import linked, mates, verifier
+from .linking import Links, mates
 from .minhash import bands, minhash
 from .textstats import SPACE, char_shingles, mix, prefix, ranges
 
@@ -100,7 +100,7 @@ def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int
     reps = x.groupBy("node").agg(F.min(F.struct("id", "line")).alias("rep"))
     wanted = shared.select("node").distinct().join(reps, "node")
     texts = cut(_texts(docs, cut(wanted.groupBy("rep.id").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))
-    roots = linked(shared, texts, verifier(lambda t: char_shingles(t, size), numerator, denominator))
+    roots = Links(lambda t: char_shingles(t, size), numerator, denominator).components(shared, texts)
     rooted = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
     stays = rooted.join(first, "root").select("node", "first")

@@ -1,15 +1,18 @@
 """Links between similar texts from shared bands of signatures, exactly verified, without all pairs of a group.
 
 Each item has a node (a 64-bit content hash, so that copies are one node) and bands.  Items that
-share a band are mates.  Components of the verified links are found in rounds:
+share a band are mates.  Only the components of the links matter, so a pair within a component
+needs no comparison:
 
 1. each node is compared with one pivot, the smallest of its bands' smallest mates;
-2. as long as that adds links, each two components that still meet in a band are compared by one
-   pair of their members there;
-3. whatever pairs of mates are still in different components are compared, so that no link that a
-   band proposes is lost.
-
-Pairs within a component need no comparison, since they change nothing.
+2. bands whose mates are still in different components are looked through with sketches (bitmaps
+   of the sets, from which follows an upper bound of the similarity), and a spanning forest of the
+   likeliest links between components is compared, a few times;
+3. pairs of mates in different components that the bound does not rule out are compared, until no
+   link is new.  So no link that a band proposes is lost.
+
+Every link is decided on the whole sets.  A band's mates are looked through in blocks of bounded
+size, a task for each two blocks; what a task gives out is a forest, not its pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +27,14 @@ from pyspark.sql import functions as F
 from .common import cut, small_enough
 from .components import components
 
-#: Rounds of step 2 at most; step 3 does the rest.
-ROUNDS = 6
+#: Rounds of step 2.
+FORESTS = 3
+#: Mates of a band in a block.
+BLOCK = 1024
+#: Sizes of sketches in 64-bit words: the least that has four bits for each element, up to the last.
+WORDS = (8, 16, 32, 64, 128, 256, 512)
+
+Sets = Callable[[str], np.ndarray]
 
 
 def mates(items: DataFrame) -> DataFrame:
@@ -35,82 +44,157 @@ def mates(items: DataFrame) -> DataFrame:
     return rows.join(shared, "band").select("band", "node")
 
 
-def verifier(sets: Callable[[str], np.ndarray], numerator: int, denominator: int):
-    """mapInArrow function: of (a, b, ta, tb) keeps (a, b) with denominator * |intersection| >= numerator * |union| of the texts' sets."""
+class Links:
+    """Finds components of texts whose sets have denominator * |intersection| >= numerator * |union|."""
+
+    def __init__(self, sets: Sets, numerator: int, denominator: int):
+        self.sets, self.numerator, self.denominator = sets, numerator, denominator
+
+    def enough(self, both: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.denominator * both >= self.numerator * (x + y - both)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        cache: dict[int, np.ndarray] = {}
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose texts are similar."""
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in cache:
-                if len(cache) > 500:
-                    cache.clear()
-                cache[node] = sets(text)
-            return cache[node]
+        def run(batches: Iterator[pa.RecordBatch]):
+            cache: dict[int, np.ndarray] = {}
 
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, j, x, y in zip(a, b, batch.column("ta"), batch.column("tb")):
-                x, y = of(i, x.as_py()), of(j, y.as_py())
-                if len(x) and len(y) and denominator * min(len(x), len(y)) >= numerator * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if denominator * both >= numerator * (len(x) + len(y) - both):
+            def of(node: int, text: pa.Scalar) -> np.ndarray:
+                if node not in cache:
+                    if len(cache) > 500:
+                        cache.clear()
+                    cache[node] = self.sets(text.as_py())
+                return cache[node]
+
+            for batch in batches:
+                keep = []
+                for i, j, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
+                    x, y = of(i, x), of(j, y)
+                    if len(x) and len(y) and self.enough(min(len(x), len(y)), len(x), len(y)) and self.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
                         keep.append((i, j))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def linked(shared: DataFrame, texts: DataFrame, verify) -> DataFrame:
-    """(id, root) of nodes that have a verified link. shared: (band, node), a checkpoint; texts: (node, text) of these nodes, a checkpoint."""
-    pairs = shared.groupBy("band").agg(F.min("node").alias("p")).join(shared, "band").groupBy("node").agg(F.min("p").alias("p")).where("p < node").select(F.col("p").alias("a"), F.col("node").alias("b"))
-    pairs = cut(pairs)
-    tested = pairs
-    links = cut(_verified(pairs, texts, verify))
-    for step in range(ROUNDS + 1):
-        roots = cut(components(links))
-        left = _apart(shared, roots, exact=step == ROUNDS).join(tested, ["a", "b"], "left_anti")
-        left = cut(left)
-        if not left.head(1):
-            if step == ROUNDS:
-                break
-            left = cut(_apart(shared, roots, exact=True).join(tested, ["a", "b"], "left_anti"))
-            if not left.head(1):
-                break
-        new = cut(_verified(left, texts, verify))
-        tested = tested.unionByName(left)
-        if new.head(1):
-            links = links.unionByName(new)
-        elif step < ROUNDS:
-            left = cut(_apart(shared, roots, exact=True).join(tested, ["a", "b"], "left_anti"))
-            if not left.head(1):
-                break
-            new = cut(_verified(left, texts, verify))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+    def sketched(self, texts: DataFrame) -> DataFrame:
+        """(node, n, sketch): set sizes and bitmaps."""
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                n, bits = [], []
+                for text in b.column("text"):
+                    h = self.sets(text.as_py())
+                    words = next((w for w in WORDS if 16 * w >= len(h)), WORDS[-1])
+                    n.append(len(h))
+                    bits.append(np.packbits(np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) > 0, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], names=["node", "n", "sketch"])
+
+        return texts.select("node", "text").mapInArrow(run, "node long, n int, sketch binary")
+
+    def possible(self, shared: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a < b) of mates in different components that the sketches do not rule out: a forest over each band's components, or all."""
+        side = roots.select(F.col("id").alias("node"), "root")
+        labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        rows = labelled.join(mixed, "band")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root").join(sketches, "node")
+        together = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").select("band", "i", "j", "node", "root", "n", "sketch")
+        compare = self._compare
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            group, key = [], None
+            for b in batches:
+                rows = zip(*(b.column(c).to_pylist() for c in ("band", "i", "j", "node", "root", "n", "sketch")))
+                out = []
+                for band, i, j, *rest in rows:
+                    if (band, i, j) != key:
+                        out += compare(group, every)
+                        group, key = [], (band, i, j)
+                    group.append(rest)
+                yield _pairs(out)
+            yield _pairs(compare(group, every))
+
+        return together.mapInArrow(run, "a long, b long").distinct()
+
+    def _compare(self, group: list, every: bool) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        nodes, n = np.array([g[0] for g in group]), np.array([g[2] for g in group])
+        if len({g[1] for g in group}) < 2:
+            return []
+        _, root = np.unique([g[1] for g in group], return_inverse=True)
+        own = np.array([len(g[3]) // 8 for g in group])
+        parent = np.arange(root.max() + 1)
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        tables = {}
+        for words in np.unique(own):
+            rows = np.flatnonzero((own == words) | (own == 2 * words))
+            m = np.zeros((len(rows), words), np.uint64)
+            for k, r in enumerate(rows):
+                bits = np.frombuffer(group[r][3], np.uint64)
+                m[k] = bits if own[r] == words else bits[:words] | bits[words:]
+            tables[words] = rows, m
+        out = []
+        for i in range(len(group)):
+            rows, m = tables[own[i]]
+            at = (rows > i) | (own[rows] != own[i])
+            at &= root[rows] != root[i]
+            at &= self.enough(np.minimum(n[rows], n[i]), n[rows], n[i])
+            rows, others = rows[at], m[at]
+            if not len(rows):
+                continue
+            x = np.frombuffer(group[i][3], np.uint64)
+            both = np.minimum(n[i] - np.bitwise_count(x & ~others).sum(axis=1, dtype=np.int64), n[rows] - np.bitwise_count(others & ~x).sum(axis=1, dtype=np.int64))
+            ok = np.flatnonzero(self.enough(both, n[rows], n[i]))
+            for k in ok[np.argsort(-(both[ok] / (n[rows[ok]] + n[i] - both[ok])), kind="stable")]:
+                if not every:
+                    p, q = top(root[i]), top(root[rows[k]])
+                    if p == q:
+                        continue
+                    parent[p] = q
+                out.append((int(min(nodes[i], nodes[rows[k]])), int(max(nodes[i], nodes[rows[k]]))))
+        return out
+
+    def components(self, shared: DataFrame, texts: DataFrame) -> DataFrame:
+        """(id, root) of nodes that have a verified link. shared: (band, node), a checkpoint; texts: (node, text) of these nodes, a checkpoint."""
+        pivots = shared.groupBy("band").agg(F.min("node").alias("p"))
+        tested = cut(pivots.join(shared, "band").groupBy("node").agg(F.min("p").alias("p")).where("p < node").select(F.col("p").alias("a"), F.col("node").alias("b")))
+        links = cut(self.verified(tested, texts))
+        sketches = None
+        step = 0
+        while True:
+            roots = cut(components(links))
+            if not step and not _mixed(shared, roots):
+                return roots
+            sketches = sketches or cut(self.sketched(texts))
+            left = cut(self.possible(shared, roots, sketches, every=step >= FORESTS).join(tested, ["a", "b"], "left_anti"))
+            new = cut(self.verified(left, texts)) if left.head(1) else None
+            if new is None or not new.head(1):
+                if step >= FORESTS:
+                    return roots
+                step = FORESTS
+            else:
+                links = links.unionByName(new)
+                step += 1
             tested = tested.unionByName(left)
-            if not new.head(1):
-                break
-            links = links.unionByName(new)
-    return cut(components(links))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+def _mixed(shared: DataFrame, roots: DataFrame) -> bool:
+    """Whether a band has mates in different components."""
+    side = roots.select(F.col("id").alias("node"), "root")
+    labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", F.coalesce("root", "node").alias("root"))
+    return bool(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").head(1))
 
 
-def _apart(shared: DataFrame, roots: DataFrame, exact: bool) -> DataFrame:
-    """Pairs (a < b) of mates in different components: one for each two components, or all of them."""
-    side = roots.select(F.col("id").alias("node"), "root")
-    labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    labelled = labelled.join(mixed, "band")
-    if not exact:
-        labelled = labelled.groupBy("band", "root").agg(F.min("node").alias("node"))
-    x = labelled.select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = labelled.select("band", F.col("node").alias("y"), F.col("root").alias("ry"))
-    pairs = x.join(y, "band").where("rx < ry").select("rx", "ry", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    if exact:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("rx", "ry").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])

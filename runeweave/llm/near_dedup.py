@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_buffers, with_side
-from .linking import linked, mates, verifier
+from .linking import Links, mates
 from .minhash import bands, super_minhash
 from .textstats import mix, word_shingles
 
@@ -63,7 +63,7 @@ def groups(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int
     shared = cut(mates(nodes))
     wanted = cut(shared.select("node").distinct().join(nodes.select("node", "rep"), "node"))
     texts = cut(_texts(docs, wanted, size, id_col, text_col))
-    roots = linked(shared, texts, verifier(lambda t: shingle_set(t, size), numerator, denominator))
+    roots = Links(lambda t: shingle_set(t, size), numerator, denominator).components(shared, texts)
     rooted = used.select("id", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = rooted.groupBy("node").agg(F.first("root").alias("root")).join(least, "root").select("node", "component_id")
