@@ -95,8 +95,7 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:
     """(id, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, text)."""
     x = cut(signed(docs, size, length, each))
-    nodes = x.groupBy("node").agg(F.min(F.struct("id", "line")).alias("rep"), F.first("bands").alias("bands"))
-    shared = cut(mates(nodes.select("node", "bands")))
+    shared = mates(x)
     reps = x.groupBy("node").agg(F.min(F.struct("id", "line")).alias("rep"))
     wanted = shared.select("node").distinct().join(reps, "node")
     texts = cut(_texts(docs, cut(wanted.groupBy("rep.id").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))

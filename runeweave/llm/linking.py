@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, small_enough, with_side
 from .components import components
 
 #: Rounds of step 2.
 FORESTS = 3
+#: Bands that may be broadcast: 8 bytes each.
+BANDS = 1_000_000
 #: Mates of a band in a block.
 BLOCK = 1024
 #: Sizes of sketches in 64-bit words: the least that has four bits for each element, up to the last.
@@ -38,10 +40,16 @@ Sets = Callable[[str], np.ndarray]
 
 
 def mates(items: DataFrame) -> DataFrame:
-    """(band, node) of bands that at least two nodes share. items: (node long, bands array<long>), a row for each node."""
+    """(band, node) of bands that at least two nodes share, as a checkpoint. items: (node long, bands array<long>), a row or more for each node.
+
+    One aggregation finds the shared bands.  Of a band with two rows it has both; the rows of larger
+    bands are looked up, without a shuffle as long as those bands are few.
+    """
     rows = items.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    return rows.join(shared, "band").select("band", "node")
+    shared = cut(rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    two = shared.where("n = 2").select("band", F.explode(F.array("lo", "hi")).alias("node"))
+    more = with_side(rows, shared.where("n > 2").select("band"), "band", rows=BANDS).select("band", "node").distinct()
+    return cut(two.unionByName(more))
 
 
 class Links:

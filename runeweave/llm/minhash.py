@@ -10,6 +10,9 @@ GOLD = 0x9E3779B97F4A7C15
 SPLIT = np.uint64(0xD1B54A32D192ED03)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+#: Hashes that MinHash works on at once.
+PART = 1 << 15
+
 
 def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, size: int) -> np.ndarray:
     """SuperMinHash signatures (Ertl, 2017), `size` <= 256 values for each of `rows` sets; h are hashes of the elements, row their set, ascending.
@@ -45,12 +48,17 @@ def minhash(h: np.ndarray, at: np.ndarray, size: int, seed: int = 5) -> np.ndarr
     b = random.integers(0, 1 << 32, size, np.uint32)
     low = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(at) - 1, size), np.uint32)
-    work = np.empty_like(low)
-    for j in range(size):
-        np.multiply(low, a[j], out=work)
-        work += b[j]
-        work ^= work >> np.uint32(15)
-        out[:, j] = np.minimum.reduceat(work, at[:-1])
+    first = 0
+    while first < len(at) - 1:  # in parts that stay in the cache
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PART, "right")) - 1)
+        part, starts = low[at[first] : at[last]], at[first:last] - at[first]
+        work = np.empty_like(part)
+        for j in range(size):
+            np.multiply(part, a[j], out=work)
+            work += b[j]
+            work ^= work >> np.uint32(15)
+            out[first:last, j] = np.minimum.reduceat(work, starts)
+        first = last
     return out
 
 

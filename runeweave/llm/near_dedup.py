@@ -59,9 +59,8 @@ def groups(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int
     """
     x = cut(signed(docs, size, length, each, id_col, text_col))
     used = x.where("n > 0 and id is not null")
-    nodes = used.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    shared = cut(mates(nodes))
-    wanted = cut(shared.select("node").distinct().join(nodes.select("node", "rep"), "node"))
+    shared = mates(used)
+    wanted = cut(shared.select("node").distinct().join(used.groupBy("node").agg(F.min("id").alias("rep")), "node"))
     texts = cut(_texts(docs, wanted, size, id_col, text_col))
     roots = Links(lambda t: shingle_set(t, size), numerator, denominator).components(shared, texts)
     rooted = used.select("id", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
