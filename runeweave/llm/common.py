@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side that grows with the data may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 300_000
+#: Elements of arrays in all rows of such a side, up to which it may be broadcast.
+BROADCAST_ITEMS = 1_000_000
 #: Bytes of text that numpy works on at once in a Python worker.
 SLICE_BYTES = 1 << 21
 
@@ -56,12 +58,15 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def with_side(df: DataFrame, side: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join df with a narrow side: broadcast if the side's row count allows it, by a shuffle of both otherwise.
+def with_side(df: DataFrame, side: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Join df with a narrow side: broadcast if its row count, and the elements of its array column `items`, allow it; by a shuffle of both otherwise.
 
     `side` should be cheap to count (a checkpoint).
     """
-    return df.join(F.broadcast(side) if small_enough(side, rows) else side, on, how)
+    small = small_enough(side, rows)
+    if small and items:
+        small = (side.agg(F.sum(F.size(items))).first()[0] or 0) <= BROADCAST_ITEMS
+    return df.join(F.broadcast(side) if small else side, on, how)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_buffers, with_side
 from .textstats import prefix, ranges
 
-GRAM = 24
+#: Bytes of an anchor's gram: a longer one brings fewer contexts together that share no window.
+GRAM = 96
 #: Bytes of contexts in one transform.
-BATCH = 3 << 20
+BATCH = 2 << 20
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -164,7 +165,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     shape = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_()), ("hot", pa.bool_()), ("segment", pa.binary())])
-    return with_side(docs, wanted, "key").select("text", "want").mapInArrow(run, "anchor long, content long, n long, twice boolean, hot boolean, segment binary")
+    return with_side(docs, wanted, "key", items="want").select("text", "want").mapInArrow(run, "anchor long, content long, n long, twice boolean, hot boolean, segment binary")
 
 
 def _expanded(found: DataFrame, length: int) -> DataFrame:
@@ -207,7 +208,7 @@ def _counted(found: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
-    """(key, spans array<struct<start, end>>): bytes to remove, unmerged, for the rows of docs (key, text) that have some. key may not be null."""
+    """(key, spans array<struct<start, end>>): bytes to remove, merged, for the rows of docs (key, text) that have some. key may not be null."""
     x = cut(_scan(docs, length))
     distinct = x.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("key", "place", "n")).alias("rep"))
     anchors = x.groupBy("anchor").agg(F.count("*").alias("all"))
@@ -223,7 +224,21 @@ def spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
     marks = cut(full.unionByName(part))
     hits = x.join(marks, ["anchor", "content"]).select("key", "place", F.coalesce("runs", F.array(F.lit(0), F.col("n").cast("int"))).alias("runs"))
     pieces = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("runs"), 1) - 1), lambda i: F.struct((F.col("place") + F.get("runs", i * 2)).alias("start"), (F.col("place") + F.get("runs", i * 2 + 1) - 1 + length).alias("end")))
-    return hits.select("key", pieces.alias("s")).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return hits.select("key", pieces.alias("s")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")).select("key", _merged("spans").alias("spans"))
+
+
+def _merged(spans: str) -> Column:
+    """Sorted spans without overlaps or touching ends."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(state: Column, s: Column) -> Column:
+        last = state["last"]
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joins = last["end"] >= s["start"]
+        return F.struct(F.when(joins | last.isNull(), state["out"]).otherwise(F.array_append(state["out"], last)).alias("out"), F.when(joins, grown).otherwise(s).alias("last"))
+
+    start = F.struct(none.alias("out"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("last"))
+    return F.aggregate(spans, start, add, lambda state: F.array_append(state["out"], state["last"]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,18 +255,14 @@ def cleaned(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     ids may be null.  An empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    marked = with_side(keyed, cut(spans(keyed.select("key", "text"), length, hot)), "key", "left").select("id", "text", "spans")
+    marked = with_side(keyed, cut(spans(keyed.select("key", "text"), length, hot)), "key", "left", items="spans").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             n, removed, many, kept = [], [], [], []
             for text, found in zip(b.column("text"), b.column("spans")):
-                raw, merged = text.as_py().encode("utf-8", "surrogatepass"), []
-                for s in sorted((s["start"], s["end"]) for s in found.as_py() or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                merged = [(s["start"], s["end"]) for s in found.as_py() or ()]
                 ends = [0, *(x for s in merged for x in s), len(raw)]
                 n.append(len(raw))
                 removed.append(sum(e - s for s, e in merged))
