@@ -257,3 +257,24 @@ def test_shard_store(spark, tmp_path):
     assert sorted(map(tuple, store.read().collect()), key=str) == sorted(map(tuple, x.collect()), key=str)
     with pytest.raises(sharding.Conflict):
         store.commit([], store.versions()[-1] - 1)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
+    from runeweave.llm.components import components
+
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    parent = list(range(600))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    found = {x.id: x.root for x in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    assert all(found.get(i, i) == top(i) for i in range(600))
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
