@@ -17,11 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_buffers, with_side
-from .linking import Links, mates
+from .linking import Links, packed, unpacked_mates
 from .minhash import bands, minhash
 from .textstats import SPACE, char_shingles, mix, prefix, ranges
 
 
+NAMES = ["id", "line", "node", "part", "pairs"]
+#: Parts that bands are dealt to: for each partition of the documents, and at most.
+PARTS, MOST_PARTS = 8, 2048
+
+
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row, number) of every line of the rows, blank ones too."""
     breaks = np.flatnonzero(data == 10)
@@ -48,12 +53,14 @@ def _solid(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return seen[end] > seen[start]
 
 
-def signed(docs: DataFrame, size: int, length: int, each: int) -> DataFrame:
-    """(id, line, node, bands) of every line that is not blank; equal lines of a slice share their work."""
+def signed(docs: DataFrame, size: int, length: int, each: int, parts: int) -> DataFrame:
+    """(id, line, node, part, pairs): a row for every line that is not blank, and rows with the packed bands of a batch's lines; equal lines of a slice share their work."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             data, at = text_buffers(b.column("text"))
+            seen, nodes = [], []
             for i, j in slices(at, 1 << 20):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 start, end, row, number = _lines(d, a)
@@ -61,15 +68,20 @@ def signed(docs: DataFrame, size: int, length: int, each: int) -> DataFrame:
                 if not len(solid):
                     continue
                 node = _hashed(d, start[solid], end[solid])
-                _, first, back = np.unique(node, return_index=True, return_inverse=True)
+                own, first = np.unique(node, return_index=True)
                 units, cut_at = _units(d, start[solid[first]], end[solid[first]])
                 h, ends = _shingles(units, cut_at, size)
-                s = bands(minhash(h, ends, length), each)[back]
+                seen.append(bands(minhash(h, ends, length), each))
+                nodes.append(own.view(np.int64))
                 ids = b.column("id").slice(i, j - i).take(pa.array(row[solid]))
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(s.ravel(), pa.int64()), s.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[solid], pa.int32()), pa.array(node.view(np.int64)), flat], names=["id", "line", "node", "bands"])
+                n = len(solid)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[solid], pa.int32()), pa.array(node.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
+            if seen:
+                part, pairs = packed(np.concatenate(seen), np.concatenate(nodes), parts)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, b.column("id").type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(part, pa.int32()), pa.array(pairs, pa.binary())], names=NAMES)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, line int, node long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, line int, node long, part int, pairs binary")
 
 
 def _units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +106,10 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:
     """(id, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, text)."""
-    x = cut(signed(docs, size, length, each))
-    shared = mates(x)
+    parts = min(MOST_PARTS, PARTS * max(8, docs.rdd.getNumPartitions()))
+    both = cut(signed(docs, size, length, each, parts))
+    x = both.where("part is null").select("id", "line", "node")
+    shared = unpacked_mates(both.where("part is not null").select("part", "pairs"))
     reps = x.groupBy("node").agg(F.min(F.struct("id", "line")).alias("rep"))
     wanted = shared.select("node").distinct().join(reps, "node")
     texts = cut(_texts(docs, cut(wanted.groupBy("rep.id").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))
@@ -124,7 +138,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             texts.append(lines[w["line"]].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
 
-    return with_side(docs, wanted, "id").select("text", "want").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return with_side(docs, wanted, "id", items="want").select("text", "want").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -140,7 +154,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(text, "\n", -1)
     side = gone.select(F.col("id").alias(id_col), F.col("gone").alias("__gone"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = with_side(docs.drop("n_lines", "n_removed"), side, id_col, "left")
+    out = with_side(docs.drop("n_lines", "n_removed"), side, id_col, "left", items="__gone")
     out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__gone")
 

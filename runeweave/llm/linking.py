@@ -7,9 +7,11 @@ needs no comparison:
 1. each node is compared with one pivot, the smallest of its bands' smallest mates;
 2. bands whose mates are still in different components are looked through with sketches (bitmaps
    of the sets, from which follows an upper bound of the similarity), and a spanning forest of the
-   likeliest links between components is compared, a few times;
-3. pairs of mates in different components that the bound does not rule out are compared, until no
-   link is new.  So no link that a band proposes is lost.
+   likeliest links between components is compared;
+3. all pairs of mates in different components that the bound does not rule out are compared.  So no
+   link that a band proposes is lost.
+
+Bands with the same mates count once.
 
 Every link is decided on the whole sets.  A band's mates are looked through in blocks of bounded
 size, a task for each two blocks; what a task gives out is a forest, not its pairs.
@@ -27,13 +29,11 @@ from pyspark.sql import functions as F
 from .common import cut, small_enough, with_side
 from .components import components
 
-#: Rounds of step 2.
-FORESTS = 3
 #: Bands that may be broadcast: 8 bytes each.
 BANDS = 1_000_000
 #: Mates of a band in a block.
 BLOCK = 1024
-#: Sizes of sketches in 64-bit words: the least that has four bits for each element, up to the last.
+#: Sizes of sketches in 64-bit words: the least that has eight bits for each element, up to the last.
 WORDS = (8, 16, 32, 64, 128, 256, 512)
 
 Sets = Callable[[str], np.ndarray]
@@ -49,7 +49,59 @@ def mates(items: DataFrame) -> DataFrame:
     shared = cut(rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     two = shared.where("n = 2").select("band", F.explode(F.array("lo", "hi")).alias("node"))
     more = with_side(rows, shared.where("n > 2").select("band"), "band", rows=BANDS).select("band", "node").distinct()
-    return cut(two.unionByName(more))
+    return cut(once(cut(two.unionByName(more))))
+
+
+def once(shared: DataFrame) -> DataFrame:
+    """(band, node) with one band of those that have the same mates. shared: distinct rows, a checkpoint."""
+    h = F.xxhash64("node")
+    sets = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+    return shared.join(sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"), "band").select("band", "node")
+
+
+def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Distinct pairs of a band and a node, dealt to parts by the band: the parts that have some, and their pairs as bytes."""
+    flat, owner = bands.ravel(), np.repeat(nodes, bands.shape[1])
+    part = (flat.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((owner, flat, part))
+    pairs, part = np.stack([flat[order], owner[order]], axis=1), part[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    pairs, part = pairs[new], part[new]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(part))
+    return part[at].tolist(), [pairs[a:b].tobytes() for a, b in zip(at, ends)]
+
+
+def unpacked_mates(dealt: DataFrame) -> DataFrame:
+    """`mates` from packed pairs, as a checkpoint. dealt: (part int, pairs binary); a part's pairs are sorted by one task."""
+
+    def solve(blobs: list[bytes]) -> pa.RecordBatch:
+        pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        pairs = pairs[new]
+        same = pairs[1:, 0] == pairs[:-1, 0]
+        shared = np.zeros(len(pairs), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(pairs[shared, 0]), pa.array(pairs[shared, 1])], names=["band", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        blobs, last = [], None
+        for b in batches:
+            for part, pairs in zip(b.column("part").to_pylist(), b.column("pairs")):
+                if part != last and blobs:
+                    yield solve(blobs)
+                    blobs = []
+                blobs.append(pairs.as_py())
+                last = part
+        if blobs:
+            yield solve(blobs)
+
+    together = dealt.repartition("part").sortWithinPartitions("part")
+    return cut(once(cut(together.select("part", "pairs").mapInArrow(run, "band long, node long"))))
 
 
 class Links:
@@ -94,7 +146,7 @@ class Links:
                 n, bits = [], []
                 for text in b.column("text"):
                     h = self.sets(text.as_py())
-                    words = next((w for w in WORDS if 16 * w >= len(h)), WORDS[-1])
+                    words = next((w for w in WORDS if 8 * w >= len(h)), WORDS[-1])
                     n.append(len(h))
                     bits.append(np.packbits(np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) > 0, bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], names=["node", "n", "sketch"])
@@ -178,23 +230,15 @@ class Links:
         pivots = shared.groupBy("band").agg(F.min("node").alias("p"))
         tested = cut(pivots.join(shared, "band").groupBy("node").agg(F.min("p").alias("p")).where("p < node").select(F.col("p").alias("a"), F.col("node").alias("b")))
         links = cut(self.verified(tested, texts))
-        sketches = None
-        step = 0
-        while True:
+        roots = cut(components(links))
+        if not _mixed(shared, roots):
+            return roots
+        sketches = cut(self.sketched(texts))
+        for every in (False, True):
+            left = cut(self.possible(shared, roots, sketches, every).join(tested, ["a", "b"], "left_anti"))
+            links, tested = links.unionByName(cut(self.verified(left, texts))), tested.unionByName(left)
             roots = cut(components(links))
-            if not step and not _mixed(shared, roots):
-                return roots
-            sketches = sketches or cut(self.sketched(texts))
-            left = cut(self.possible(shared, roots, sketches, every=step >= FORESTS).join(tested, ["a", "b"], "left_anti"))
-            new = cut(self.verified(left, texts)) if left.head(1) else None
-            if new is None or not new.head(1):
-                if step >= FORESTS:
-                    return roots
-                step = FORESTS
-            else:
-                links = links.unionByName(new)
-                step += 1
-            tested = tested.unionByName(left)
+        return roots
 
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> bool:
