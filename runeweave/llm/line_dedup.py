@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, text_buffers, with_side
 from .linking import Links, packed, unpacked_mates
 from .minhash import bands, minhash
-from .textstats import SPACE, char_shingles, mix, prefix, ranges
+from .textstats import INVERSE, SPACE, char_shingles, mix, powers, prefix, ranges
 
 
 NAMES = ["id", "line", "node", "part", "pairs"]
@@ -100,8 +100,14 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     count = np.maximum(n - size + 1, 1)
     ends = np.concatenate([[0], np.cumsum(count)])
     start = np.repeat(at[:-1] - ends[:-1], count) + np.arange(ends[-1])
-    stop = np.minimum(start + size, np.repeat(at[1:], count))
-    return ranges(prefix(units), start, stop), ends
+    h = prefix(units)
+    if len(units) < size:
+        return ranges(h, start, np.minimum(start + size, np.repeat(at[1:], count))), ends
+    everywhere = mix((h[size:] - h[:-size]) * powers(len(h), INVERSE)[: len(h) - size])
+    out = everywhere[np.minimum(start, len(everywhere) - 1)]
+    short = np.flatnonzero(n < size)
+    out[ends[short]] = ranges(h, at[short], at[short + 1])
+    return out, ends
 
 
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:

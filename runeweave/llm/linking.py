@@ -155,10 +155,7 @@ class Links:
 
     def possible(self, shared: DataFrame, roots: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
         """Pairs (a < b) of mates in different components that the sketches do not rule out: a forest over each band's components, or all."""
-        side = roots.select(F.col("id").alias("node"), "root")
-        labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = labelled.join(mixed, "band")
+        rows = _apart(shared, roots)
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root").join(sketches, "node")
@@ -231,9 +228,10 @@ class Links:
         tested = cut(pivots.join(shared, "band").groupBy("node").agg(F.min("p").alias("p")).where("p < node").select(F.col("p").alias("a"), F.col("node").alias("b")))
         links = cut(self.verified(tested, texts))
         roots = cut(components(links))
-        if not _mixed(shared, roots):
+        apart = cut(_apart(shared, roots).select("node").distinct())
+        if not apart.head(1):
             return roots
-        sketches = cut(self.sketched(texts))
+        sketches = cut(self.sketched(texts.join(apart, "node", "left_semi")))
         for every in (False, True):
             left = cut(self.possible(shared, roots, sketches, every).join(tested, ["a", "b"], "left_anti"))
             links, tested = links.unionByName(cut(self.verified(left, texts))), tested.unionByName(left)
@@ -241,11 +239,12 @@ class Links:
         return roots
 
 
-def _mixed(shared: DataFrame, roots: DataFrame) -> bool:
-    """Whether a band has mates in different components."""
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node, root, blocks) of bands whose mates are in different components."""
     side = roots.select(F.col("id").alias("node"), "root")
-    labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", F.coalesce("root", "node").alias("root"))
-    return bool(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").head(1))
+    labelled = shared.join(F.broadcast(side) if small_enough(side) else side, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    return labelled.join(mixed, "band")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -56,7 +56,6 @@ def minhash(h: np.ndarray, at: np.ndarray, size: int, seed: int = 5) -> np.ndarr
         for j in range(size):
             np.multiply(part, a[j], out=work)
             work += b[j]
-            work ^= work >> np.uint32(15)
             out[first:last, j] = np.minimum.reduceat(work, starts)
         first = last
     return out

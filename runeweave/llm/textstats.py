@@ -40,12 +40,16 @@ def powers(n: int, of: np.uint64 = BASE) -> np.ndarray:
     return _powers[name][:n]
 
 
-VALUE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+#: Values of the units that are frequent in texts: bytes and the first code points.
+VALUE = mix(np.arange(1, (1 << 13) + 1, dtype=np.uint64) * BASE)
 
 
 def prefix(units: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes: bytes by a table, larger units by mixing."""
-    value = VALUE[units] if units.dtype == np.uint8 else mix((units.astype(np.uint64) + np.uint64(1)) * BASE)
+    if units.dtype == np.uint8 or not len(units) or units.max() < len(VALUE):
+        value = VALUE[units]
+    else:
+        value = mix((units.astype(np.uint64) + np.uint64(1)) * BASE)
     out = np.zeros(len(units) + 1, np.uint64)
     np.cumsum(value * powers(len(units)), out=out[1:])
     return out
