@@ -108,7 +108,7 @@ SPACED = "regexp_replace(regexp_replace(substr(text, 1, 200), '[^A-Za-z]', '', '
 
 
 def spaced(text) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(F.substring(text, 1, 200), "[^A-Za-z]", ""), "(.)", "$1 ")
+    return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z]", ""), "(.)", "$1 ")
 
 
 def style_query(block: str):
