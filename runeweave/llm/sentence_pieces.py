@@ -268,20 +268,40 @@ def _encoded(batch: pa.Array, model: Model):
         yield i, j, d, a, *model.encode(d, a)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col` array<int>: each whole text's pieces, none for a null or empty text. A column of that name is replaced; repeated rows and other columns do not matter."""
+def _same(data: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, model: Model) -> list[bool]:
+    """Which rows of data their ids decode to."""
+    out = []
+    for i, j in slices(at, 1 << 19):
+        back, to = model.decode(ids[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        was, now, a = data[at[i] : at[j]].tobytes(), back.tobytes(), at[i : j + 1] - at[i]
+        out += [was[p:q] == now[r:s] for p, q, r, s in zip(a[:-1], a[1:], to[:-1], to[1:])]
+    return out
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str | None = None) -> DataFrame:
+    """docs with `ids_col` array<int>: each whole text's pieces, none for a null or empty text. A column of that name is replaced; repeated rows and other columns do not matter.
+
+    With `same_col`, the ids are decoded too, and it says whether they give the text as it was, as round_trip of `digest` does.
+    """
     model = Model.load(docs.sparkSession, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.drop(ids_col)
+    added = [ids_col, same_col] if same_col else [ids_col]
+    given = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for i, j, _, _, ids, ends in _encoded(b.column(b.num_columns - 1), sent.value):
-                kept = [c.slice(i, j - i) for c in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=[*b.schema.names[:-1], ids_col])
+            for i, j, data, at, ids, ends in _encoded(b.column(b.num_columns - 1), sent.value):
+                cols = [*[c.slice(i, j - i) for c in b.columns[:-1]], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if same_col:
+                    cols.append(pa.array(_same(data, at, ids, ends, sent.value), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *added])
 
     schema = given.schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema)
+    if not same_col:
+        return given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema)
+    out = given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema.add(same_col, T.BooleanType()))
+    marked = F.coalesce(F.col(text_col).cast("string").contains(MARKER), F.lit(False))
+    return out.withColumn(same_col, F.col(same_col) & ~marked)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
