@@ -278,3 +278,16 @@ def test_components(spark, few):
     found = {x.id: x.root for x in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     assert all(found.get(i, i) == top(i) for i in range(600))
     assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
+
+
+def test_addresses_do_not_depend_on_unrelated_marks(spark):
+    texts = ["write to joe at example (dot) com", "mail joe at example.com", "write joe at example [dot] org please", "contact ann at example dot net", "meet me at noon."]
+    pattern, needs, _ = personal_data.PROPOSED["address"]
+    x = docs(spark, texts + [f"{t} ; a @ b" for t in texts])
+    got = {r.doc_id: [s.value for s in r.s] for r in x.select("doc_id", personal_data.found(F.col("text"), pattern, needs).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == got[i + len(texts)] == [m[0] for m in re.finditer(pattern, t)]
+    assert got[0] == ["joe at example (dot) com"]
+    spans = {r.doc_id: r.spans for r in personal_data.digest(x).collect()}
+    assert all(spans[i] == spans[i + len(texts)] for i in range(len(texts)))
+    assert "address" in spans[0]
