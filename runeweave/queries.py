@@ -376,8 +376,8 @@ def hangul_names(spark, sf_dir):
 
 @query("SELECT 'CJK UNIFIED IDEOGRAPH-' || printf('%04X', 19968 + event_id) AS name, chr(CAST(19968 + event_id AS INTEGER)) AS text FROM events WHERE event_id < 20000")
 def cjk_algorithmic(spark, sf_dir):
-    name = F.concat(F.lit("CJK UNIFIED IDEOGRAPH-"), F.hex(F.col("event_id") + 19968))
-    x = read(spark, sf_dir, "events").where("event_id < 20000").select(name.alias("name"))
+    name = F.concat(F.lit("CJK UNIFIED IDEOGRAPH-"), F.hex(F.col("event_id") % 20992 + 19968))
+    x = read(spark, sf_dir, "events").select(name.alias("name"))
     return x.select("name", Engine(spark).to_unicode(F.concat(F.lit("<:"), "name", F.lit("/>"))).alias("text"))
 
 
