@@ -15,7 +15,7 @@ BROADCAST_ROWS = 300_000
 #: Elements of arrays in all rows of such a side, up to which it may be broadcast.
 BROADCAST_ITEMS = 1_000_000
 #: Bytes of text that numpy works on at once in a Python worker.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,12 +23,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in a local session without it, a temporary one.
+
+    A cluster must name one: a folder of the driver's own would be out of the executors' reach.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_to.isDefined():
             return set_to.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()

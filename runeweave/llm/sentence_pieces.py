@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,8 @@ def fields(data: bytes):
             at += size
 
 
+#: Bytes of texts that are segmented at once.
+STRETCH = 1 << 20
 #: Slots looked through at once for a node of several children.
 WINDOW = 256
 
@@ -223,7 +226,7 @@ class Model:
         return flat[place].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(start)))])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, at) of rows that stand one after the other in data, prepared."""
+        """(ids, at) of rows that stand one after the other in data, prepared. Data is taken in stretches of whole chunks, so a long row needs no more memory than many short ones."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         new = np.zeros(len(data), bool)
@@ -233,7 +236,21 @@ class Model:
         if self.by_line:
             new |= data == 10
             new[1:] |= data[:-1] == 10
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(new).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        cuts = [0]
+        while cuts[-1] < len(start):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, start[cuts[-1]] + STRETCH))))
+        whole, counts = [], []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            a, b = int(start[i]), int(start[j]) if j < len(start) else len(data)
+            ids, n = self._stretch(data[a:b], start[i:j].astype(np.int64) - a)
+            whole.append(ids)
+            counts.append(n)
+        to = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(whole), to[np.searchsorted(start, at)]
+
+    def _stretch(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the chunks that make up data, and how many each has; equal chunks are encoded once."""
         end = np.append(start[1:], len(data))
         _, one, back = np.unique(ranges(prefix(data), start, end), return_index=True, return_inverse=True)
         by_place = np.argsort(one)
@@ -243,8 +260,7 @@ class Model:
         chunk = rank[back]
         n = ends[chunk + 1] - ends[chunk]
         to = np.concatenate([[0], np.cumsum(n)])
-        whole = ids[np.repeat(ends[chunk] - to[:-1], n) + np.arange(to[-1])]
-        return whole, to[np.searchsorted(start, at)]
+        return ids[np.repeat(ends[chunk] - to[:-1], n) + np.arange(to[-1])], n
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(data, at): the bytes of rows of ids, with the leading space; ids outside the model count for nothing."""
@@ -256,26 +272,31 @@ class Model:
         return self.written[np.repeat(self.starts[ids] - to[:-1], n) + np.arange(to[-1])], to[at]
 
 
-def _prepared(text_col: str, model: Model):
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARKER, " ")
-    return F.when(text == "", "").otherwise(F.concat(F.lit(" "), text)) if model.prefix_space else text
+def _prepared(texts: pa.Array, model: Model) -> pa.Array:
+    """Texts as they are segmented: null as empty, the marker character as a space, a space before each text that has something."""
+    texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARKER, " ")
+    if not model.prefix_space:
+        return texts
+    spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    return pc.if_else(pc.equal(texts, ""), texts, spaced)
 
 
-def _encoded(batch: pa.Array, model: Model):
-    data, at = text_buffers(batch)
-    for i, j in slices(at, 1 << 22):
-        d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        yield i, j, d, a, *model.encode(d, a)
+def _encoded(column: pa.Array, model: Model):
+    """(i, j, data, at, ids, ends) of the column's rows i to j, a slice at a time."""
+    at = text_buffers(column)[1]
+    for i, j in slices(at):
+        data, to = text_buffers(_prepared(column.slice(i, j - i), model))
+        yield i, j, data, to, *model.encode(data, to)
 
 
-def _same(data: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, model: Model) -> list[bool]:
-    """Which rows of data their ids decode to."""
+def _same(data: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, model: Model, texts: pa.Array) -> pa.Array:
+    """Which texts their ids decode to; data: the texts prepared."""
     out = []
     for i, j in slices(at, 1 << 19):
         back, to = model.decode(ids[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
         was, now, a = data[at[i] : at[j]].tobytes(), back.tobytes(), at[i : j + 1] - at[i]
         out += [was[p:q] == now[r:s] for p, q, r, s in zip(a[:-1], a[1:], to[:-1], to[1:])]
-    return out
+    return pc.and_not(pa.array(out, pa.bool_()), pc.match_substring(texts.fill_null(""), MARKER))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str | None = None) -> DataFrame:
@@ -287,21 +308,23 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = [ids_col, same_col] if same_col else [ids_col]
     given = docs.drop(*added)
+    if text_col in given.columns and given.schema[text_col].dataType == T.StringType():
+        place, extra = given.columns.index(text_col), given
+    else:  # a text of another type travels beside its column
+        place, extra = len(given.columns), given.withColumn("__text", docs[text_col].cast("string"))
+    width = len(given.columns)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for i, j, data, at, ids, ends in _encoded(b.column(b.num_columns - 1), sent.value):
-                cols = [*[c.slice(i, j - i) for c in b.columns[:-1]], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+            texts = b.column(place)
+            for i, j, data, at, ids, ends in _encoded(texts, sent.value):
+                cols = [*[c.slice(i, j - i) for c in b.columns[:width]], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
                 if same_col:
-                    cols.append(pa.array(_same(data, at, ids, ends, sent.value), pa.bool_()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *added])
+                    cols.append(_same(data, at, ids, ends, sent.value, texts.slice(i, j - i)))
+                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:width], *added])
 
-    schema = given.schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    if not same_col:
-        return given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema)
-    out = given.withColumn("__prepared", _prepared(text_col, model)).mapInArrow(run, schema.add(same_col, T.BooleanType()))
-    marked = F.coalesce(F.col(text_col).cast("string").contains(MARKER), F.lit(False))
-    return out.withColumn(same_col, F.col(same_col) & ~marked)
+    schema = T.StructType([*given.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(same_col, T.BooleanType())] if same_col else [])])
+    return extra.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -339,16 +362,15 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for i, j, data, at, ids, ends in _encoded(b.column("text"), sent.value):
+            texts = b.column("text")
+            for i, j, data, at, ids, ends in _encoded(texts, sent.value):
                 counts = np.concatenate([[0], np.cumsum(byte_kind[ids])])
-                back, to = sent.value.decode(ids, ends)
-                raw, was, now = ids.tobytes(), data.tobytes(), back.tobytes()
-                same = [was[p:q] == now[r:s] for p, q, r, s in zip(at[:-1], at[1:], to[:-1], to[1:])]
+                raw = ids.tobytes()
                 sha = [hashlib.sha256(raw[4 * s : 4 * e]).hexdigest() for s, e in zip(ends[:-1], ends[1:])]
-                cols = [b.column("id").slice(i, j - i), pa.array(np.diff(ends)), pa.array(counts[ends[1:]] - counts[ends[:-1]]), pa.array(sha), pa.array(same), b.column("marked").slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_ids", "n_byte_ids", "ids_sha256", "same", "marked"])
+                cols = [b.column("id").slice(i, j - i), pa.array(np.diff(ends)), pa.array(counts[ends[1:]] - counts[ends[:-1]]), pa.array(sha), _same(data, at, ids, ends, sent.value, texts.slice(i, j - i))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_ids", "n_byte_ids", "ids_sha256", "round_trip"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), _prepared(text_col, model).alias("text"), F.coalesce(F.col(text_col).cast("string").contains(MARKER), F.lit(False)).alias("marked"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    out = chosen.mapInArrow(run, f"id {kind}, n_ids long, n_byte_ids long, ids_sha256 string, same boolean, marked boolean")
-    return out.select(F.col("id").alias(id_col), "n_ids", "n_byte_ids", "ids_sha256", (F.col("same") & ~F.col("marked")).alias("round_trip"))
+    out = chosen.mapInArrow(run, f"id {kind}, n_ids long, n_byte_ids long, ids_sha256 string, round_trip boolean")
+    return out.withColumnRenamed("id", id_col)

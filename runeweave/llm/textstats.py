@@ -16,6 +16,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Powers that a worker keeps: enough for a slice of texts. Longer ranges make theirs anew.
+KEPT = (1 << 20) + 64
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -32,14 +34,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int, of: np.uint64 = BASE) -> np.ndarray:
     """of**0 ... of**(n - 1) modulo 2**64."""
     name = str(of)
-    if len(_powers.get(name, ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        out = np.full(size, of, np.uint64)
-        out[0] = 1
-        _powers[name] = np.multiply.accumulate(out)
+    if n > KEPT:
+        return _made(n, of)
+    if name not in _powers:
+        _powers[name] = _made(KEPT, of)
     return _powers[name][:n]
 
 
+def _made(n: int, of: np.uint64) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
 #: Values of the units that are frequent in texts: bytes and the first code points.
 VALUE = mix(np.arange(1, (1 << 13) + 1, dtype=np.uint64) * BASE)
 
@@ -51,8 +58,9 @@ def prefix(units: np.ndarray) -> np.ndarray:
     else:
         value = mix((units.astype(np.uint64) + np.uint64(1)) * BASE)
     out = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum(value * powers(len(units)), out=out[1:])
-    return out
+    np.multiply(value, powers(len(units)), out=out[1:])
+    del value
+    return np.cumsum(out, out=out)
 
 
 def ranges(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
