@@ -63,7 +63,7 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def with_side(df: DataFrame, side: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+def with_side(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
     """Join df with a narrow side: broadcast if its row count, and the elements of its array column `items`, allow it; by a shuffle of both otherwise.
 
     `side` should be cheap to count (a checkpoint).

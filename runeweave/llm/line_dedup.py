@@ -3,8 +3,10 @@
 Equal lines are one node.  A node's set holds its shingles of `size` characters; lines whose sets
 have a Jaccard similarity of numerator / denominator or more are linked: MinHash bands propose,
 the exact sets decide, distributed union-find joins.  Of each component the line that comes first
-(smallest id, then smallest line number) stays; the others go from their documents.  Lines without
-a character other than white space stay where they are.
+(smallest id, then text hash, then line number) stays; the others go from their documents.  Lines
+without a character other than white space stay where they are.
+
+A document is an id with a text: rows of one id and different texts are different documents.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from .minhash import bands, minhash
 from .textstats import INVERSE, SPACE, char_shingles, mix, powers, prefix, ranges
 
 
-NAMES = ["id", "line", "node", "part", "pairs"]
-#: Parts that bands are dealt to: for each partition of the documents, and at most.
-PARTS, MOST_PARTS = 8, 2048
+NAMES = ["id", "h", "line", "node", "part", "pairs", "band"]
+#: Parts that bands are dealt to, for each partition of the documents: their number follows the input, so a part's size does not.
+PARTS = 8
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,14 +56,22 @@ def _solid(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int, length: int, each: int, parts: int) -> DataFrame:
-    """(id, line, node, part, pairs): a row for every line that is not blank, and rows with the packed bands of a batch's lines; equal lines of a slice share their work."""
+    """Rows of three sorts: (id, h, line, node) of every line that is not blank; (part, pairs) with packed bands of a batch's lines; (band, node) of bands that several lines of the batch share.
+
+    Equal lines of a slice share their work.  A batch gives a part one pair of each band.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
+    def rows(n: int, given: dict, id_type: pa.DataType) -> pa.RecordBatch:
+        types = dict(zip(NAMES, (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())))
+        return pa.RecordBatch.from_arrays([given[k].cast(t) if k in given else pa.nulls(n, t) for k, t in types.items()], names=NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
+            ids, hashes = b.column("id"), b.column("h")
             data, at = text_buffers(b.column("text"))
             seen, nodes = [], []
-            for i, j in slices(at, 1 << 20):
+            for i, j in slices(at):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 start, end, row, number = _lines(d, a)
                 solid = np.flatnonzero(_solid(d, start, end))
@@ -73,15 +83,14 @@ def signed(docs: DataFrame, size: int, length: int, each: int, parts: int) -> Da
                 h, ends = _shingles(units, cut_at, size)
                 seen.append(bands(minhash(h, ends, length), each))
                 nodes.append(own.view(np.int64))
-                ids = b.column("id").slice(i, j - i).take(pa.array(row[solid]))
-                n = len(solid)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[solid], pa.int32()), pa.array(node.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
+                at_row = pa.array(row[solid] + i)
+                yield rows(len(solid), {"id": ids.take(at_row), "h": hashes.take(at_row), "line": pa.array(number[solid]), "node": pa.array(node.view(np.int64))}, ids.type)
             if seen:
-                part, pairs = packed(np.concatenate(seen), np.concatenate(nodes), parts)
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, b.column("id").type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(part, pa.int32()), pa.array(pairs, pa.binary())], names=NAMES)
+                part, pairs, known = packed(np.concatenate(seen), np.concatenate(nodes), parts)
+                yield rows(len(part), {"part": pa.array(part), "pairs": pa.array(pairs, pa.binary())}, ids.type)
+                yield rows(len(known), {"band": pa.array(known[:, 0]), "node": pa.array(known[:, 1])}, ids.type)
 
-    return docs.mapInArrow(run, f"id {kind}, line int, node long, part int, pairs binary")
+    return docs.mapInArrow(run, f"id {kind}, h long, line int, node long, part int, pairs binary, band long")
 
 
 def _units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +120,18 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:
-    """(id, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, text)."""
-    parts = min(MOST_PARTS, PARTS * max(8, docs.rdd.getNumPartitions()))
-    both = cut(signed(docs, size, length, each, parts))
-    x = both.where("part is null").select("id", "line", "node")
-    shared = unpacked_mates(both.where("part is not null").select("part", "pairs"))
-    reps = x.groupBy("node").agg(F.min(F.struct("id", "line")).alias("rep"))
+    """(id, h, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, h, text), h a hash of the text."""
+    both = cut(signed(docs, size, length, each, PARTS * max(8, docs.rdd.getNumPartitions())))
+    x = both.where("line is not null").select("id", "h", "line", "node")
+    shared = unpacked_mates(both.where("part is not null").select("part", "pairs"), both.where("band is not null").select("band", "node"))
+    reps = x.groupBy("node").agg(F.min(F.struct("id", "h", "line")).alias("rep"))
     wanted = shared.select("node").distinct().join(reps, "node")
-    texts = cut(_texts(docs, cut(wanted.groupBy("rep.id").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))
+    texts = cut(_texts(docs, cut(wanted.groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))
     roots = Links(lambda t: char_shingles(t, size), numerator, denominator).components(shared, texts)
     rooted = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
-    stays = rooted.join(first, "root").select("node", "first")
-    gone = x.select("id", "line", "node").join(stays, "node").where("id <> first.id or line <> first.line")
-    return gone.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    stays = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
+    gone = x.join(stays, "node").where("id <> first.id or h <> first.h or line <> first.line")
+    return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,7 +151,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             texts.append(lines[w["line"]].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
 
-    return with_side(docs, wanted, "id", items="want").select("text", "want").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return with_side(docs, wanted, ["id", "h"], items="want").select("text", "want").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -152,17 +159,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null and has no lines, an empty one has one blank line.  Lines end at line
     feeds only.  Rows without an id keep their lines and take part in nothing.  Rows that repeat an
-    id are one document: a line is removed from all of them by its number.  An empty table gives no
-    rows; columns named n_lines or n_removed are replaced.
+    id and its text are one document and keep the same lines; those of an id with another text are
+    another document.  An empty table gives no rows; columns named n_lines or n_removed are replaced.
     """
     text = F.col(text_col).cast("string")
-    gone = cut(doomed(docs.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null and text is not null"), **how))
+    used = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    gone = cut(doomed(used.where("id is not null and text is not null"), **how))
     lines = F.split(text, "\n", -1)
-    side = gone.select(F.col("id").alias(id_col), F.col("gone").alias("__gone"))
+    side = gone.select(F.col("id").alias(id_col), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = with_side(docs.drop("n_lines", "n_removed"), side, id_col, "left", items="__gone")
+    out = with_side(docs.drop("n_lines", "n_removed").withColumn("__h", F.xxhash64(text)), side, [id_col, "__h"], "left", items="__gone")
     out = out.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__gone")
+    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).drop("__gone", "__h").select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

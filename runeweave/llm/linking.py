@@ -59,8 +59,11 @@ def once(shared: DataFrame) -> DataFrame:
     return shared.join(sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"), "band").select("band", "node")
 
 
-def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
-    """Distinct pairs of a band and a node, dealt to parts by the band: the parts that have some, and their pairs as bytes."""
+def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list[int], list[bytes], np.ndarray]:
+    """Bands dealt to parts with one node each, the parts that have some and their pairs as bytes; and all pairs of bands that several nodes here share.
+
+    So a band that very many nodes share brings a part one pair from here, however many they are.
+    """
     flat, owner = bands.ravel(), np.repeat(nodes, bands.shape[1])
     part = (flat.view(np.uint64) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((owner, flat, part))
@@ -68,13 +71,18 @@ def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list[int],
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
     pairs, part = pairs[new], part[new]
+    first = np.ones(len(pairs), bool)
+    first[1:] = pairs[1:, 0] != pairs[:-1, 0]
+    several = ~first
+    several[:-1] |= ~first[1:]
+    known, pairs, part = pairs[several], pairs[first], part[first]
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(part))
-    return part[at].tolist(), [pairs[a:b].tobytes() for a, b in zip(at, ends)]
+    return part[at].tolist(), [pairs[a:b].tobytes() for a, b in zip(at, ends)], known
 
 
-def unpacked_mates(dealt: DataFrame) -> DataFrame:
-    """`mates` from packed pairs, as a checkpoint. dealt: (part int, pairs binary); a part's pairs are sorted by one task."""
+def unpacked_mates(dealt: DataFrame, known: DataFrame) -> DataFrame:
+    """`mates` from packed pairs and those known to be shared, as a checkpoint. dealt: (part int, pairs binary); known: (band, node)."""
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch:
         pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
@@ -101,7 +109,8 @@ def unpacked_mates(dealt: DataFrame) -> DataFrame:
             yield solve(blobs)
 
     together = dealt.repartition("part").sortWithinPartitions("part")
-    return cut(once(cut(together.select("part", "pairs").mapInArrow(run, "band long, node long"))))
+    found = together.select("part", "pairs").mapInArrow(run, "band long, node long")
+    return cut(once(cut(found.unionByName(known).distinct())))
 
 
 class Links:

@@ -291,3 +291,19 @@ def test_addresses_do_not_depend_on_unrelated_marks(spark):
     spans = {r.doc_id: r.spans for r in personal_data.digest(x).collect()}
     assert all(spans[i] == spans[i + len(texts)] for i in range(len(texts)))
     assert "address" in spans[0]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    x = spark.createDataFrame([(1, "a line that is here twice or more\nfirst"), (2, "a line that is here twice or more\nsecond"), (2, "another text of the same id\nits own line stays"), (2, "another text of the same id\nits own line stays")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.deduplicate(x).collect())
+    assert got == [(1, "a line that is here twice or more\nfirst", 0), (2, "another text of the same id\nits own line stays", 0), (2, "another text of the same id\nits own line stays", 0), (2, "second", 1)]
+    assert line_dedup.deduplicate(x.where("false")).count() == 0
+
+
+def test_bands_that_many_share_are_known_at_once():
+    from runeweave.llm.linking import packed
+
+    nodes = np.arange(50)
+    part, pairs, known = packed(np.stack([np.full(50, 7), nodes + 100], axis=1), nodes, 4)
+    dealt = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in pairs])
+    assert len(dealt) == 51 and known.tolist() == [[7, i] for i in range(50)]
