@@ -24,7 +24,9 @@ from .minhash import bands, minhash
 from .textstats import INVERSE, SPACE, char_shingles, mix, powers, prefix, ranges
 
 
-NAMES = ["id", "h", "line", "node", "part", "pairs", "band"]
+NAMES = ["id", "h", "nodes", "part", "pairs"]
+#: Bytes of text at once: what they need stays in the cache.
+SLICE = 1 << 18
 #: Parts that bands are dealt to, for each partition of the documents: their number follows the input, so a part's size does not.
 PARTS = 8
 
@@ -51,46 +53,45 @@ def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _solid(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which lines have a character other than white space."""
-    seen = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    seen = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~SPACE[data], dtype=np.int32, out=seen[1:])
     return seen[end] > seen[start]
 
 
 def signed(docs: DataFrame, size: int, length: int, each: int, parts: int) -> DataFrame:
-    """Rows of three sorts: (id, h, line, node) of every line that is not blank; (part, pairs) with packed bands of a batch's lines; (band, node) of bands that several lines of the batch share.
+    """Rows of two sorts: (id, h, nodes) of every document, with null for a blank line; (part, pairs) with packed bands of a batch's lines.
 
-    Equal lines of a slice share their work.  A batch gives a part one pair of each band.
+    Equal lines of a slice share their work.  A batch gives a part one pair of each band; the pairs
+    of bands that several lines of the batch share come without a part.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
-    def rows(n: int, given: dict, id_type: pa.DataType) -> pa.RecordBatch:
-        types = dict(zip(NAMES, (id_type, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())))
-        return pa.RecordBatch.from_arrays([given[k].cast(t) if k in given else pa.nulls(n, t) for k, t in types.items()], names=NAMES)
-
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             ids, hashes = b.column("id"), b.column("h")
             data, at = text_buffers(b.column("text"))
             seen, nodes = [], []
-            for i, j in slices(at):
+            for i, j in slices(at, SLICE):
                 d, a = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                start, end, row, number = _lines(d, a)
-                solid = np.flatnonzero(_solid(d, start, end))
-                if not len(solid):
-                    continue
-                node = _hashed(d, start[solid], end[solid])
-                own, first = np.unique(node, return_index=True)
-                units, cut_at = _units(d, start[solid[first]], end[solid[first]])
-                h, ends = _shingles(units, cut_at, size)
-                seen.append(bands(minhash(h, ends, length), each))
-                nodes.append(own.view(np.int64))
-                at_row = pa.array(row[solid] + i)
-                yield rows(len(solid), {"id": ids.take(at_row), "h": hashes.take(at_row), "line": pa.array(number[solid]), "node": pa.array(node.view(np.int64))}, ids.type)
+                start, end, row, _ = _lines(d, a)
+                blank = ~_solid(d, start, end)
+                solid = np.flatnonzero(~blank)
+                node = _hashed(d, start, end)
+                if len(solid):
+                    own, first = np.unique(node[solid], return_index=True)
+                    units, cut_at = _units(d, start[solid[first]], end[solid[first]])
+                    h, ends = _shingles(units, cut_at, size)
+                    seen.append(bands(minhash(h, ends, length), each))
+                    nodes.append(own.view(np.int64))
+                n = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(n), pa.array(node.view(np.int64), mask=blank))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), hashes.slice(i, j - i), lists, pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=NAMES)
             if seen:
-                part, pairs, known = packed(np.concatenate(seen), np.concatenate(nodes), parts)
-                yield rows(len(part), {"part": pa.array(part), "pairs": pa.array(pairs, pa.binary())}, ids.type)
-                yield rows(len(known), {"band": pa.array(known[:, 0]), "node": pa.array(known[:, 1])}, ids.type)
+                part, pairs = packed(np.concatenate(seen), np.concatenate(nodes), parts)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(part, pa.int32()), pa.array(pairs, pa.binary())], names=NAMES)
 
-    return docs.mapInArrow(run, f"id {kind}, h long, line int, node long, part int, pairs binary, band long")
+    return docs.mapInArrow(run, f"id {kind}, h long, nodes array<long>, part int, pairs binary")
 
 
 def _units(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +123,18 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:
     """(id, h, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, h, text), h a hash of the text."""
     both = cut(signed(docs, size, length, each, PARTS * max(8, docs.rdd.getNumPartitions())))
-    x = both.where("line is not null").select("id", "h", "line", "node")
-    shared = unpacked_mates(both.where("part is not null").select("part", "pairs"), both.where("band is not null").select("band", "node"))
-    reps = x.groupBy("node").agg(F.min(F.struct("id", "h", "line")).alias("rep"))
-    wanted = shared.select("node").distinct().join(reps, "node")
-    texts = cut(_texts(docs, cut(wanted.groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("rep.line", "node")).alias("want")))))
+    x = both.where("nodes is not null").select("id", "h", F.posexplode("nodes").alias("line", "node")).where("node is not null")
+    shared = unpacked_mates(both.where("pairs is not null").select("part", "pairs"))
+    reps = x.groupBy("node").agg(F.min(F.struct("id", "h", "line")).alias("rep"), F.count("*").alias("n"))
+    mates = shared.select("node", F.lit(True).alias("mate")).distinct()
+    some = cut(reps.join(mates, "node", "left").where("mate or n > 1"))
+    wanted = some.where("mate").groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("rep.line", "node")).alias("want"))
+    texts = cut(_texts(docs, cut(wanted)))
     roots = Links(lambda t: char_shingles(t, size), numerator, denominator).components(shared, texts)
-    rooted = reps.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    stays = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
-    gone = x.join(stays, "node").where("id <> first.id or h <> first.h or line <> first.line")
+    rooted = some.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("n").alias("all")).where("all > 1")
+    stays = cut(rooted.join(first, "root").select("node", "first"))
+    gone = with_side(x, stays, "node").where("id <> first.id or h <> first.h or line <> first.line")
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 

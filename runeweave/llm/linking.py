@@ -59,58 +59,75 @@ def once(shared: DataFrame) -> DataFrame:
     return shared.join(sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"), "band").select("band", "node")
 
 
-def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list[int], list[bytes], np.ndarray]:
-    """Bands dealt to parts with one node each, the parts that have some and their pairs as bytes; and all pairs of bands that several nodes here share.
+#: A band's last 32 bits and a node, as they travel.
+PAIR = np.dtype([("band", "<u4"), ("node", "<i8")])
 
-    So a band that very many nodes share brings a part one pair from here, however many they are.
+
+def packed(bands: np.ndarray, nodes: np.ndarray, parts: int) -> tuple[list, list[bytes]]:
+    """Bands dealt to parts with one node each: the parts that have some, and their pairs as bytes; and under the part None all (band, node) of bands that several nodes here share.
+
+    So a band that very many nodes share brings a part one pair from here, however many they are.  A
+    band is known by its part and 32 bits more: a chance meeting proposes a pair, which is verified.
     """
-    flat, owner = bands.ravel(), np.repeat(nodes, bands.shape[1])
-    part = (flat.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((owner, flat, part))
-    pairs, part = np.stack([flat[order], owner[order]], axis=1), part[order]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-    pairs, part = pairs[new], part[new]
-    first = np.ones(len(pairs), bool)
-    first[1:] = pairs[1:, 0] != pairs[:-1, 0]
+    flat, owner = bands.ravel().view(np.uint64), np.repeat(nodes, bands.shape[1])
+    part = ((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    band = (part << np.uint64(32)) | (flat & np.uint64(0xFFFFFFFF))
+    order = np.argsort(band)
+    band, owner = band[order], owner[order]
+    first = np.ones(len(band), bool)
+    first[1:] = band[1:] != band[:-1]
     several = ~first
     several[:-1] |= ~first[1:]
-    known, pairs, part = pairs[several], pairs[first], part[first]
+    known = np.stack([band[several].view(np.int64), owner[several]], axis=1)
+    pairs = np.empty(int(first.sum()), PAIR)
+    pairs["band"], pairs["node"] = band[first] & np.uint64(0xFFFFFFFF), owner[first]
+    part = (band[first] >> np.uint64(32)).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(part))
-    return part[at].tolist(), [pairs[a:b].tobytes() for a, b in zip(at, ends)], known
+    return [*part[at].tolist(), None], [*(pairs[a:b].tobytes() for a, b in zip(at, ends)), known.tobytes()]
+
 
+def unpacked_mates(dealt: DataFrame) -> DataFrame:
+    """`mates` from packed pairs, as a checkpoint. dealt: (part int, pairs binary)."""
 
-def unpacked_mates(dealt: DataFrame, known: DataFrame) -> DataFrame:
-    """`mates` from packed pairs and those known to be shared, as a checkpoint. dealt: (part int, pairs binary); known: (band, node)."""
+    def shared(band: np.ndarray) -> np.ndarray:
+        same = band[1:] == band[:-1]
+        out = np.zeros(len(band), bool)
+        out[1:] |= same
+        out[:-1] |= same
+        return out
 
-    def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-        pairs = pairs[new]
-        same = pairs[1:, 0] == pairs[:-1, 0]
-        shared = np.zeros(len(pairs), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(pairs[shared, 0]), pa.array(pairs[shared, 1])], names=["band", "node"])
+    def solve(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        pairs = np.frombuffer(b"".join(blobs), PAIR)
+        band = pairs["band"].copy()
+        order = np.argsort(band)
+        order = order[shared(band[order])]
+        pairs = np.unique(pairs[order])
+        pairs = pairs[shared(pairs["band"])]
+        return pa.RecordBatch.from_arrays([pa.array(pairs["band"].astype(np.int64) | (part << 32)), pa.array(pairs["node"].copy())], names=["band", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         blobs, last = [], None
         for b in batches:
             for part, pairs in zip(b.column("part").to_pylist(), b.column("pairs")):
                 if part != last and blobs:
-                    yield solve(blobs)
+                    yield solve(last, blobs)
                     blobs = []
                 blobs.append(pairs.as_py())
                 last = part
         if blobs:
-            yield solve(blobs)
+            yield solve(last, blobs)
+
+    def known(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for pairs in b.column("pairs"):
+                own = np.frombuffer(pairs.as_py(), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], names=["band", "node"])
 
-    together = dealt.repartition("part").sortWithinPartitions("part")
+    together = dealt.where("part is not null").repartition("part").sortWithinPartitions("part")
     found = together.select("part", "pairs").mapInArrow(run, "band long, node long")
-    return cut(once(cut(found.unionByName(known).distinct())))
+    at_once = dealt.where("part is null").select("pairs").mapInArrow(known, "band long, node long")
+    return cut(once(cut(found.unionByName(at_once).distinct())))
 
 
 class Links:
