@@ -2,6 +2,9 @@
 
 The dictionary travels once to each Python worker as a broadcast.  Functions are lenient: a text
 that cannot be read keeps its source and tells why in `warnings`; null stays null.
+
+Only texts that need the grammar go to Python: for the others (no marker to read, nothing beyond
+ASCII to write, no TAG character) the function gets null, and the text itself is the result.
 """
 
 from __future__ import annotations
@@ -13,20 +16,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..plans.dictionary import Lexicon, default
+from ..functions.text import html_escape
+from ..plans.dictionary import Lexicon, default, load
+from ..plans.format import CANCEL
 from .converter import Converter, MarkupError
 
 WARNING = "array<struct<message:string,at:int>>"
 CONVERTED = f"text string, warnings {WARNING}, error struct<kind:string,detail:string,at:int>"
 RUNS = f"text string, runs array<struct<key:string,value:string,start:int,end:int,at:int>>, warnings {WARNING}"
-HEADER = "version string, length int"
+#: What a text that is not its own markup has: a marker's first character, or one beyond ASCII.
+UNUSUAL = r"[<\\]|[^\x00-\x7F]"
+
+
+def marked(markup: Column) -> Column:
+    """Whether markup holds what the grammar reads."""
+    return markup.contains("<:") | markup.contains("\\")
+
 
 
 class Engine:
-    """Column functions over one dictionary."""
+    """Column functions over one dictionary: a lexicon, or the path of a stored one, or the default."""
 
-    def __init__(self, spark: SparkSession, lexicon: Lexicon | None = None):
-        self.spark, self.lexicon = spark, lexicon or default()
+    def __init__(self, spark: SparkSession, lexicon: Lexicon | str | None = None):
+        self.spark, self.lexicon = spark, load(spark, lexicon) if isinstance(lexicon, str) else lexicon or default()
         sent = spark.sparkContext.broadcast(self.lexicon)
         made: list[Converter] = []
 
@@ -41,9 +53,11 @@ class Engine:
             def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 c = converter()
                 for texts in batches:
-                    codes, distinct = pd.factorize(texts)
-                    values = [f(c, t) for t in distinct]
-                    yield pd.Series([values[i] if i >= 0 else None for i in codes], dtype=object)
+                    known = {None: None}
+                    for t in texts:
+                        if t not in known:
+                            known[t] = f(c, t)
+                    yield pd.Series([known[t] for t in texts], dtype=object)
 
             return pandas_udf(run, kind)
 
@@ -52,7 +66,7 @@ class Engine:
                 c = converter()
                 for texts in batches:
                     rows = [f(c, t) if t is not None else dict.fromkeys(names) for t in texts]
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
 
             return pandas_udf(run, kind)
 
@@ -62,7 +76,7 @@ class Engine:
                     out, warnings = c.convert(text, mode)
                     return {"text": out, "warnings": [w._asdict() for w in warnings], "error": None}
                 except MarkupError as e:
-                    return {"text": None, "warnings": [w._asdict() for w in c.warnings], "error": {"kind": e.kind, "detail": e.detail, "at": e.at}}
+                    return {"text": None, "warnings": [w._asdict() for w in e.warnings], "error": {"kind": e.kind, "detail": e.detail, "at": e.at}}
 
             return structs(one, CONVERTED, ["text", "warnings", "error"])
 
@@ -78,33 +92,41 @@ class Engine:
         self._text = mapped(lambda c, t: c.convert(t)[0], "string")
         self._runs = structs(runs, RUNS, ["text", "runs", "warnings"])
 
+    def _where(self, needs: Column, text: Column, f, otherwise: Column) -> Column:
+        """f of the texts that need it, `otherwise` for the rest."""
+        return F.when(needs, f(F.when(needs, text))).otherwise(otherwise)
+
     def convert(self, markup: Column, mode: str = "lenient") -> Column:
         """struct(text, warnings, error) of markup."""
-        return self._converted[mode](markup)
+        plain = F.struct(markup.alias("text"), F.array().cast(WARNING).alias("warnings"), F.lit(None).cast("struct<kind:string,detail:string,at:int>").alias("error"))
+        plain = F.when(markup.isNotNull(), plain).otherwise(F.struct(markup.alias("text"), F.lit(None).cast(WARNING).alias("warnings"), F.lit(None).cast("struct<kind:string,detail:string,at:int>").alias("error")))
+        return self._where(marked(markup), markup, self._converted[mode], plain)
 
     def to_unicode(self, markup: Column) -> Column:
         """The text of markup."""
-        return self._text(markup)
+        return self._where(marked(markup), markup, self._text, markup)
 
     def to_markup(self, text: Column) -> Column:
         """Markup of text: to_unicode gives the text back."""
-        return self._markup(text)
+        return self._where(text.rlike(UNUSUAL), text, self._markup, text)
 
     def to_ascii_markup(self, text: Column) -> Column:
         """Markup of text in ASCII only."""
-        return self._ascii(text)
+        return self._where(text.rlike(UNUSUAL), text, self._ascii, text)
 
     def explicit(self, markup: Column) -> Column:
         """Markup whose inline tags cannot be taken for openers."""
-        return self._explicit(markup)
+        return self._where(markup.contains("<:"), markup, self._explicit, markup)
 
     def meta_runs(self, tagged: Column) -> Column:
         """struct(text, runs, warnings) of text with meta sequences."""
-        return self._runs(tagged)
+        none = lambda kind: F.when(tagged.isNotNull(), F.array().cast(kind))
+        plain = F.struct(tagged.alias("text"), none(RUNS.split(", ")[1].split(" ", 1)[1]).alias("runs"), none(WARNING).alias("warnings"))
+        return self._where(tagged.contains(CANCEL), tagged, self._runs, plain)
 
     def to_html(self, tagged: Column) -> Column:
         """HTML of text with meta sequences."""
-        return self._html(tagged)
+        return self._where(tagged.contains(CANCEL), tagged, self._html, html_escape(tagged))
 
     def header(self, markup: Column) -> Column:
         """struct(version, length in bytes) of a header at the start, null without one."""
@@ -115,7 +137,13 @@ class Engine:
 
     def warnings(self, df: DataFrame, markup: str, *keep: str) -> DataFrame:
         """A row for each warning of a column's texts: the kept columns, message, at."""
-        return df.select(*keep, F.explode(self.convert(F.col(markup))["warnings"]).alias("w")).select(*keep, "w.message", "w.at")
+        # An inner explode would have the optimizer test the array, and so convert each text, twice.
+        return df.select(*keep, F.explode_outer(self.convert(F.col(markup))["warnings"]).alias("w")).where("w is not null").select(*keep, "w.message", "w.at")
+
+    def runs(self, df: DataFrame, tagged: str, *keep: str) -> DataFrame:
+        """A row for each run of a column's texts: the kept columns, text, key, value, start, end, at."""
+        x = df.select(*keep, self.meta_runs(F.col(tagged)).alias("m")).select(*keep, "m.text", F.explode_outer("m.runs").alias("r"))
+        return x.where("r is not null").select(*keep, "text", "r.key", "r.value", "r.start", "r.end", "r.at")
 
     def register(self) -> None:
         """SQL functions to_unicode, to_markup, to_ascii_markup, explicit_markup, markup_html, convert_markup, meta_runs."""

@@ -72,3 +72,53 @@ def tag_to_close(text: Column, blocks: Column) -> Column:
     scopes = F.filter(events, lambda e: (e == "") | e.startswith("/") | F.array_contains(blocks, e))
     last = F.element_at(scopes, -1)
     return F.when(F.size(scopes) > 0, F.when((last != "") & ~last.startswith("/"), last))
+
+
+def reference_counts(pages: DataFrame, html: str, names: DataFrame) -> DataFrame:
+    """(name, text, n) of the character references in a column; text is null for names that are not in names(name, text)."""
+    found = pages.select(F.explode(F.regexp_extract_all(html, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))).alias("name"))
+    return found.groupBy("name").agg(F.count("*").alias("n")).join(names, "name", "left").select("name", "text", "n")
+
+
+def in_blocks(characters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """characters(cp, ...) with the `name` of the Unicode block, null outside the blocks(a, z, name): a few hundred ranges, broadcast."""
+    return characters.join(F.broadcast(blocks), F.col("cp").between(F.col("a"), F.col("z")), "left").drop("a", "z")
+
+
+def scopes(tokens: DataFrame, group: str, order: str, event: Column) -> DataFrame:
+    """tokens with `scope`: the last opener before each, empty after a closer. event: the opener's word, "" for a closer, null for other tokens."""
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.withColumn("scope", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit("")))
+
+
+def kinds(entries: DataFrame) -> DataFrame:
+    """(name, kind, word, text) of composite names: `block operand`, `block *control`, a block's own `block ` and plain names."""
+    word, rest = F.substring_index("name", " ", 1), F.expr("substring(name, instr(name, ' ') + 1)")
+    kind = F.when(~F.col("name").contains(" "), "name").when(rest == "", "block").when(rest.startswith("*"), "control").otherwise("operand")
+    return entries.select("name", kind.alias("kind"), F.when(F.col("name").contains(" "), word).alias("word"), "text")
+
+
+def without_twins(operands: DataFrame) -> DataFrame:
+    """(block, operand, text) without operands in lower case whose text another spelling of the block has."""
+    cased = operands.where(F.col("operand") != F.lower("operand")).select("block", F.lower("operand").alias("operand"), "text").distinct()
+    return operands.join(cased, ["block", "operand", "text"], "left_anti")
+
+
+def group_summary(operands: DataFrame, samples: int = 3) -> DataFrame:
+    """(block, size, samples): how many operands a block has, and the texts of the shortest ones."""
+    rank = Window.partitionBy("block").orderBy(F.length("operand"), "operand", "text")
+    x = operands.withColumn("r", F.row_number().over(rank))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.struct("r", "text")))), lambda s: s["text"]), " ")
+    return x.groupBy("block").agg(F.count("*").alias("size"), first.alias("samples"))
+
+
+def borrowed(operands: DataFrame, block: str, alias: str) -> DataFrame:
+    """The operands of a block under an alias that is read but never written."""
+    return operands.where(F.col("block") == block).withColumn("block", F.lit(alias)).withColumn("one_way", F.lit(True))
+
+
+def homophones(operands: DataFrame, typed: str, frequency: DataFrame) -> DataFrame:
+    """(operand, text, uses) of an operand and its numbered homophones in all blocks, the most frequent text first. frequency: (text, uses)."""
+    base = F.regexp_replace(F.lower("operand"), r"\.[0-9]+$", "")
+    x = first_wins(operands.where(base == typed.lower()), "text", "block", "operand")
+    return x.join(frequency, "text", "left").select("operand", "text", F.coalesce("uses", F.lit(0)).cast("long").alias("uses")).orderBy(F.desc("uses"), "operand")

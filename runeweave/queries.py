@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.codepoints import char, chars, code_point_value
-from .operators import search
+from .operators import packing, search
 from .operators.columns import Engine
 from .operators.converter import SIGIL_ATTACH, SIGIL_CLOSE, SIGIL_OPEN, tags
-from .plans.dictionary import default, differences
-from .plans.format import FILLERS, LEADING, TRAILING, VOWELS
+from .plans import etl
+from .plans.dictionary import compile_entries, default, differences, store
+from .plans.format import LEADING, TRAILING, VOWELS
+from .sources import tables
+from .sources.unicode_seed import html_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +38,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that is smaller than a usual split, over all cores: its file may be one row group, which one task reads. A larger one as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < 64 << 20 else df
+
+
+def latin_letter(name: str) -> str:
+    """LATIN SMALL LETTER E WITH ACUTE as e-with-acute."""
+    _, case, _, *rest = name.split(" ")
+    letter = "-".join(rest).lower()
+    return letter[0].upper() + letter[1:] if case == "CAPITAL" else letter
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -63,12 +81,12 @@ WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents)
 SELECT doc_id, array_to_string(list_transform(c, lambda x, i: CASE WHEN unicode(x) < 128 THEN x
   WHEN regexp_full_match(coalesce(c[i + 1], ''), '[A-Za-z0-9_-]') OR coalesce(c[i - 1], '') = '\' THEN '<:U+' || printf('%04X', unicode(x)) || '/>' ELSE '\:U+' || printf('%04X', unicode(x)) END), '') AS markup FROM c""")
 def ascii_escape(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.escape_ascii(F.col("text")).alias("markup"))
+    return dealt(read(spark, sf_dir, "documents")).select("doc_id", T.escape_ascii(F.col("text")).alias("markup"))
 
 
 @query("SELECT doc_id, text FROM documents")
 def roundtrip_ascii(spark, sf_dir):
-    x = read(spark, sf_dir, "documents").withColumn("markup", T.escape_ascii(T.escape_markers(F.col("text"))))
+    x = dealt(read(spark, sf_dir, "documents")).withColumn("markup", T.escape_ascii(T.escape_markers(F.col("text"))))
     return x.select("doc_id", T.unescape_codes(F.col("markup")).alias("text"))
 
 
@@ -76,7 +94,7 @@ def roundtrip_ascii(spark, sf_dir):
 def roundtrip_unicode(spark, sf_dir):
     """Texts to markup and back, through the whole grammar."""
     e = Engine(spark)
-    rows = [read(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("id"), "text")]
+    rows = [dealt(read(spark, sf_dir, "documents")).select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("id"), "text")]
     rows += [read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("src"), F.concat_ws("/", "conv_id", "turn").alias("id"), "text")]
     rows += [read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("src"), F.col("item_id").cast("string").alias("id"), "text")]
     x = rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -85,26 +103,51 @@ def roundtrip_unicode(spark, sf_dir):
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS beyond_ascii FROM documents")
 def ascii_only_check(spark, sf_dir):
-    x = read(spark, sf_dir, "documents").select(Engine(spark).to_ascii_markup(F.col("text")).alias("m"))
+    x = dealt(read(spark, sf_dir, "documents")).select(Engine(spark).to_ascii_markup(F.col("text")).alias("m"))
     return x.agg(F.count("*").alias("n"), F.count_if(F.col("m").rlike(r"[^\x00-\x7F]")).cast("long").alias("beyond_ascii"))
 
 
-LATIN = {chr(c): default().spelled[chr(c)] for c in range(0xC0, 0x100) if chr(c) in default().spelled}
+# Spellings of the letters of Latin-1 that are not their Unicode names' last part.
+LATIN = {"Æ": "ligature AE", "×": "multiplication-sign", "ß": "sharp-s", "æ": "ligature ae", "÷": "division-sign", "Ð": "ETH", "Þ": "THORN"}
+LATIN |= {chr(c): latin_letter(unicodedata.name(chr(c))) for c in range(0xC0, 0x100) if chr(c) not in LATIN}
 
 
 @query(f"""
-WITH d(ch, form) AS (VALUES {values(LATIN.items())}), m AS (SELECT map(list(ch), list(form)) AS m FROM d), c AS (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-zÀ-ÿ .,]', '', 'g'), '') AS c FROM documents)
+WITH d(ch, form) AS (VALUES {values(LATIN.items())}), m AS (SELECT map(list(ch), list(form)) AS m FROM d), c AS (SELECT doc_id, string_split(regexp_replace(text, '[^\\x00-\\x7FÀ-ÿ]', '', 'g'), '') AS c FROM documents)
 SELECT doc_id, array_to_string(list_transform(c, lambda x, i: CASE WHEN m[x] IS NULL THEN x
-  WHEN regexp_full_match(coalesce(c[i + 1], ''), '[A-Za-z0-9_-]') THEN '<:' || m[x] || '/>' ELSE '\\:' || replace(m[x], ' ', '-') END), '') AS markup FROM c, m""".replace("\\\\", "\\"))
+  WHEN regexp_full_match(coalesce(c[i + 1], ''), '[A-Za-z0-9_-]') OR coalesce(c[i - 1], '') = '\\' THEN '<:' || m[x] || '/>' ELSE '\\:' || replace(m[x], ' ', '-') END), '') AS markup FROM c, m""".replace("\\\\", "\\"))
 def spell_back_latin1(spark, sf_dir):
-    """Letters, spaces and stops of each text as names, in explicit form."""
-    plain = F.regexp_replace("text", "[^A-Za-zÀ-ÿ .,]", "")
+    """The characters up to Latin-1's letters of each text as names, in explicit form."""
+    plain = F.regexp_replace("text", "[^\\x00-\\x7FÀ-ÿ]", "")
     return read(spark, sf_dir, "documents").select("doc_id", Engine(spark).to_markup(plain).alias("markup"))
 
 
 # Styles and blocks
 
-SPACED = "regexp_replace(regexp_replace(substr(text, 1, 200), '[^A-Za-z]', '', 'g'), '(.)', '\\1 ', 'g')"
+SPACED = "regexp_replace(regexp_replace(text, '[^A-Za-z]', '', 'g'), '(.)', '\\1 ', 'g')"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# Code points of A and a in each style, and the letters that stand elsewhere.
+STYLES = {
+    "bold": (0x1D400, 0x1D41A, {}),
+    "italic": (0x1D434, 0x1D44E, {"h": "ℎ"}),
+    "bold-italic": (0x1D468, 0x1D482, {}),
+    "script": (0x1D49C, 0x1D4B6, {"B": "ℬ", "E": "ℰ", "F": "ℱ", "H": "ℋ", "I": "ℐ", "L": "ℒ", "M": "ℳ", "R": "ℛ", "e": "ℯ", "g": "ℊ", "o": "ℴ"}),
+    "bold-script": (0x1D4D0, 0x1D4EA, {}),
+    "fracture": (0x1D504, 0x1D51E, {"C": "ℭ", "H": "ℌ", "I": "ℑ", "R": "ℜ", "Z": "ℨ"}),
+    "bold-fracture": (0x1D56C, 0x1D586, {}),
+    "double": (0x1D538, 0x1D552, {"C": "ℂ", "H": "ℍ", "N": "ℕ", "P": "ℙ", "Q": "ℚ", "R": "ℝ", "Z": "ℤ"}),
+    "sans": (0x1D5A0, 0x1D5BA, {}),
+    "sans-bold": (0x1D5D4, 0x1D5EE, {}),
+    "sans-italic": (0x1D608, 0x1D622, {}),
+    "sans-bold-italic": (0x1D63C, 0x1D656, {}),
+    "monospace": (0x1D670, 0x1D68A, {}),
+}
+
+
+def style_letters(style: str) -> str:
+    """LETTERS in a style, by Unicode's chart."""
+    capital, small, elsewhere = STYLES[style]
+    return "".join(elsewhere.get(c, chr((capital if c < "a" else small) + i % 26)) for i, c in enumerate(LETTERS))
 
 
 def spaced(text) -> F.Column:
@@ -112,33 +155,29 @@ def spaced(text) -> F.Column:
 
 
 def style_query(block: str):
-    forms = {k: v for k, v in default().blocks[block].forms.items() if len(k) == len(v) == 1 and k.isascii() and k.isalpha()}
-
     def run(spark, sf_dir):
-        letters = spaced(F.col("text"))
-        markup = F.concat(F.lit(f"<:{block}> "), letters, F.lit(f" <:/{block}>"))
-        return read(spark, sf_dir, "documents").select("doc_id", Engine(spark).to_unicode(markup).alias("styled"))
+        markup = F.concat(F.lit(f"<:{block}> "), spaced(F.col("text")), F.lit(f" <:/{block}>"))
+        return dealt(read(spark, sf_dir, "documents")).select("doc_id", Engine(spark).to_unicode(markup).alias("styled"))
 
     run.__name__ = f"{block.replace('-', '_')}_block"
-    query(f"SELECT doc_id, translate({SPACED}, {quoted(''.join(forms))}, {quoted(''.join(forms.values()))}) AS styled FROM documents")(run)
+    query(f"SELECT doc_id, translate({SPACED}, {quoted(LETTERS)}, {quoted(style_letters(block))}) AS styled FROM documents")(run)
 
 
-for _block in ("bold", "italic", "bold-italic", "script", "bold-script", "fracture", "bold-fracture", "double", "sans", "sans-bold", "sans-italic", "sans-bold-italic", "monospace"):
+for _block in STYLES:
     style_query(_block)
 
 
-@query(f"SELECT doc_id, translate({SPACED}, {quoted('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')}, {quoted(''.join(default().blocks['fracture'].forms[c] for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'))}) AS styled FROM documents")
+@query(f"SELECT doc_id, translate({SPACED}, {quoted(LETTERS)}, {quoted(style_letters('fracture'))}) AS styled FROM documents")
 def fracture_native(spark, sf_dir):
-    """The same style without Python."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.styled(spaced(F.col("text")), {k: v for k, v in default().blocks["fracture"].forms.items() if k.isascii()}).alias("styled"))
+    """The same style without Python, by the dictionary's forms."""
+    return dealt(read(spark, sf_dir, "documents")).select("doc_id", T.styled(spaced(F.col("text")), {k: v for k, v in default().blocks["fracture"].forms.items() if k.isascii()}).alias("styled"))
 
 
-@query("SELECT p_partkey, length(regexp_replace(p_name, '[^0-9q]', '', 'g')) AS n_warnings, CASE WHEN regexp_matches(p_name, 'q') THEN 9 END AS first_at FROM part")
+@query("SELECT p_partkey, length(regexp_replace(p_name, '[ abgdeziklmnxoprstufcABGDEZIKLMNXOPRSTUF]', '', 'g')) AS n_warnings, CASE WHEN regexp_matches(p_name, '[^ abgdeziklmnxoprstufcABGDEZIKLMNXOPRSTUF]') THEN 9 END AS first_at FROM part")
 def style_warnings(spark, sf_dir):
-    """Letters without a Greek form, and the byte at which their block's text begins."""
+    """Characters without a Greek form, and the byte at which their block's text begins."""
     letters = F.regexp_replace(F.regexp_replace("p_name", " ", ""), "(.)", "$1 ")
-    w = Engine(spark).convert(F.concat(F.lit("<:greek> "), letters, F.lit("<:>")))["warnings"]
-    x = read(spark, sf_dir, "part").select("p_partkey", F.filter(w, lambda i: i["message"].rlike("^no greek form of [0-9q]$")).alias("w"))
+    x = read(spark, sf_dir, "part").select("p_partkey", Engine(spark).convert(F.concat(F.lit("<:greek> "), letters, F.lit("<:>")))["warnings"].alias("w"))
     return x.select("p_partkey", F.size("w").cast("long").alias("n_warnings"), F.get("w", F.lit(0))["at"].alias("first_at"))
 
 
@@ -207,8 +246,7 @@ SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN role WHEN
 def block_scope(spark, sf_dir):
     """The opener that holds at each token of a conversation: openers do not nest, any closer ends them."""
     event = F.when(F.col("role") == "user", F.col("role")).when(F.col("turn") % 5 == 4, "")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit("")).alias("scope"))
+    return search.scopes(read(spark, sf_dir, "conversations"), "conv_id", "turn", event).select("conv_id", "turn", "scope")
 
 
 @query("SELECT p_partkey, 'A' || chr(917618) || chr(917581) || substr(p_brand, 7) AS text FROM part")
@@ -228,8 +266,8 @@ def tag_encode(spark, sf_dir):
 @query("SELECT doc_id, text, 'color' AS key, 'red' AS value, CAST(0 AS INTEGER) AS \"start\", CAST(strlen(text) AS INTEGER) AS \"end\" FROM documents WHERE text <> ''")
 def meta_runs_simple(spark, sf_dir):
     tagged = F.concat(F.lit(tags(SIGIL_OPEN + "color red")), "text", F.lit(tags(SIGIL_CLOSE + "color")))
-    x = read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", Engine(spark).meta_runs(tagged).alias("m"))
-    return x.select("doc_id", "m.text", F.explode("m.runs").alias("r")).select("doc_id", "text", "r.key", "r.value", "r.start", "r.end")
+    x = dealt(read(spark, sf_dir, "documents")).where("text <> ''").select("doc_id", tagged.alias("tagged"))
+    return Engine(spark).runs(x, "tagged", "doc_id").drop("at")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
@@ -240,19 +278,19 @@ def html_escape(spark, sf_dir):
 @query("SELECT doc_id, '<span style=\"color: red\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</span>' AS html FROM documents WHERE text <> ''")
 def html_span(spark, sf_dir):
     tagged = F.concat(F.lit(tags(SIGIL_OPEN + "color red")), "text", F.lit(tags(SIGIL_CLOSE + "color")))
-    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", Engine(spark).to_html(tagged).alias("html"))
+    return dealt(read(spark, sf_dir, "documents")).where("text <> ''").select("doc_id", Engine(spark).to_html(tagged).alias("html"))
 
 
-CENSUS = {n: default().names[n] for n in ("amp", "copy", "middot", "lt", "gt", "quot", "nbsp", "hellip", "mdash", "ndash") if n in default().names}
+# HTML's names of the characters that pages are full of.
+CENSUS = {"amp": "&", "copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "hellip": "…", "mdash": "—", "ndash": "–", "eacute": "é", "Eacute": "É", "frac12": "½"}
 
 
 @query(f"""
-WITH d(name, text) AS (VALUES {values(CENSUS.items())}), r AS (SELECT unnest(regexp_extract_all(html, '&([a-z]+);', 1)) AS name FROM pages)
+WITH d(name, text) AS (VALUES {values(CENSUS.items())}), r AS (SELECT unnest(regexp_extract_all(html, '&([A-Za-z][A-Za-z0-9]*);', 1)) AS name FROM pages)
 SELECT name, d.text, count(*) AS n FROM r LEFT JOIN d USING (name) GROUP BY ALL""")
 def html_entity_census(spark, sf_dir):
-    names = spark.createDataFrame(list(CENSUS.items()), "name string, text string")
-    found = read(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("&([a-z]+);"), F.lit(1))).alias("name"))
-    return found.groupBy("name").agg(F.count("*").alias("n")).join(F.broadcast(names), "name", "left").select("name", "text", "n")
+    """References by name, with what the HTML list has for them."""
+    return search.reference_counts(read(spark, sf_dir, "pages"), "html", spark.createDataFrame(list(html_names().items()), "name string, text string"))
 
 
 CROSSING = [(1, "<:color red>a<:size 2em>b<:/color>c<:/size>", '<span style="color: red">a<span style="font-size: 2em">b</span></span><span style="font-size: 2em">c</span>'), (2, "<:lang ja>直", '<span lang="ja">直</span>'), (3, "<:color blue B/>", '<span style="color: blue">B</span>')]
@@ -292,14 +330,17 @@ def text_hash(spark, sf_dir):
 @query("""
 WITH k AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 AS stored, list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS b FROM part),
 h AS (SELECT *, list_reduce(b, lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS h1, list_reduce(b, lambda h, c: (h * 131 + c) % 4294967296, CAST(0 AS BIGINT)) | 1 AS h2 FROM k),
-p AS (SELECT *, list_transform(range(7), lambda i: ((h1 + i * h2) % 4294967296) % 65536) AS p FROM h),
+m AS (SELECT 10 * count(*) AS bits FROM k WHERE stored), p AS (SELECT *, list_transform(range(7), lambda i: ((h1 + i * h2) % 4294967296) % bits) AS p FROM h, m),
 f AS (SELECT DISTINCT unnest(p) AS bit FROM p WHERE stored)
 SELECT p_partkey, (SELECT count(*) = 0 FROM unnest(p.p) AS u(b) WHERE b NOT IN (SELECT bit FROM f)) AS maybe FROM p""")
 def bloom_membership(spark, sf_dir):
-    """Which names a filter of every other name holds, false positives included."""
-    x = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(T.bloom_positions(F.col("p_name"), F.lit(65536)))).alias("bit"))
-    bits = x.where("p_partkey % 2 = 0").select("bit").distinct().withColumn("set", F.lit(True))
-    return x.join(F.broadcast(bits), "bit", "left").groupBy("p_partkey").agg(F.every(F.coalesce("set", F.lit(False))).alias("maybe"))
+    """Which names a filter of every other name holds, ten bits a name, false positives included."""
+    names = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    stored = F.col("p_partkey") % 2 == 0
+    bits = names.where(stored).agg((10 * F.count("*")).alias("bits"))
+    x = names.crossJoin(F.broadcast(bits)).select("p_partkey", F.explode(F.array_distinct(T.bloom_positions(F.col("p_name"), F.col("bits")))).alias("bit"))
+    found = x.where(stored).select("bit").distinct().withColumn("set", F.lit(True))
+    return x.join(found, "bit", "left").groupBy("p_partkey").agg(F.every(F.coalesce("set", F.lit(False))).alias("maybe"))
 
 
 @query("""
@@ -307,8 +348,8 @@ WITH k AS (SELECT p_name, list_reduce(list_transform(string_split(p_name, ''), l
 SELECT h // 268435456 AS chunk, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY ALL""")
 def chunk_order_group(spark, sf_dir):
     """Entries and bytes by range of the key's hash."""
-    x = read(spark, sf_dir, "part").select(F.expr("1").alias("one"), T.hash31(F.col("p_name")).alias("h"), (F.octet_length("p_name") + F.octet_length("p_brand") + 20).alias("size"))
-    return x.groupBy(F.floor(F.col("h") / 268435456).alias("chunk")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    x = read(spark, sf_dir, "part").select(T.hash31(F.col("p_name")).alias("h"), (F.octet_length("p_name") + F.octet_length("p_brand") + 20).alias("size"))
+    return packing.by_hash_range(x, "h", F.col("size"), 268435456)
 
 
 @query("SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
@@ -323,9 +364,7 @@ def last_wins(spark, sf_dir):
 
 @query("SELECT p_brand, p_name AS shortest, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY strlen(p_name), unicode(p_name), p_name, p_partkey) AS r FROM part) WHERE r = 1")
 def shortest_name(spark, sf_dir):
-    rank = F.struct(F.octet_length("p_name"), F.ascii("p_name"), F.col("p_name"), F.col("p_partkey"))
-    x = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by(F.struct("p_name", "p_partkey"), rank).alias("m"))
-    return x.select("p_brand", F.col("m.p_name").alias("shortest"), "m.p_partkey")
+    return packing.shortest(read(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").withColumnRenamed("p_name", "shortest")
 
 
 @query("""
@@ -348,8 +387,8 @@ def name_endings(spark, sf_dir):
     return x.groupBy("ending").agg(F.min_by("name", F.struct(F.octet_length("name"), F.ascii("name"), F.col("name"))).alias("name"))
 
 
-@query(f"""
-WITH f(o, filler) AS (VALUES {values(enumerate(FILLERS))}), n AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part)
+@query("""
+WITH f AS (SELECT unnest(string_split('disc-sign vowel-sign numeric-sign letter sign syllable symbol digit hieroglyph ideogram logogram character', ' ')) AS filler), n AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part)
 SELECT name, split_part(name, '-', 1) || '-' || filler || '-' || split_part(name, '-', 2) AS filled FROM n, f""")
 def filler_insert(spark, sf_dir):
     n = read(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).distinct()
@@ -365,8 +404,13 @@ def dictionary_check(spark, sf_dir):
     return differences(n.where("key < 20"), other, "key", "value")
 
 
+def syllable(i: int) -> str:
+    return unicodedata.name(chr(0xAC00 + i)).removeprefix("HANGUL SYLLABLE ")
+
+
+# Parts of names of Hangul syllables, read off the standard library's names of those with a silent or short other part.
 @query(f"""
-WITH l(i, a) AS (VALUES {values(enumerate(LEADING))}), v(j, b) AS (VALUES {values(enumerate(VOWELS))}), t(k, c) AS (VALUES {values(enumerate(TRAILING))})
+WITH l(i, a) AS (VALUES {values((i, syllable(i * 588)[:-1]) for i in range(19))}), v(j, b) AS (VALUES {values((j, syllable((11 * 21 + j) * 28)) for j in range(21))}), t(k, c) AS (VALUES {values((k, syllable(11 * 588 + k)[1:]) for k in range(28))})
 SELECT a || b || c AS name, chr(44032 + (i * 21 + j) * 28 + k) AS syllable FROM l, v, t""")
 def hangul_names(spark, sf_dir):
     part = lambda items, n: spark.createDataFrame(list(enumerate(items)), f"{n} int, {n}_name string")
@@ -374,25 +418,51 @@ def hangul_names(spark, sf_dir):
     return x.select(F.concat("i_name", "j_name", "k_name").alias("name"), char((F.col("i") * 21 + F.col("j")) * 28 + F.col("k") + 44032).alias("syllable"))
 
 
-@query("SELECT 'CJK UNIFIED IDEOGRAPH-' || printf('%04X', 19968 + event_id) AS name, chr(CAST(19968 + event_id AS INTEGER)) AS text FROM events WHERE event_id < 20000")
+@query("SELECT 'CJK UNIFIED IDEOGRAPH-' || printf('%04X', 19968 + event_id % 20992) AS name, chr(CAST(19968 + event_id % 20992 AS INTEGER)) AS text FROM events")
 def cjk_algorithmic(spark, sf_dir):
     name = F.concat(F.lit("CJK UNIFIED IDEOGRAPH-"), F.hex(F.col("event_id") % 20992 + 19968))
     x = read(spark, sf_dir, "events").select(name.alias("name"))
     return x.select("name", Engine(spark).to_unicode(F.concat(F.lit("<:"), "name", F.lit("/>"))).alias("text"))
 
 
-# Starts of Unicode blocks.
-BLOCKS = [(0x0000, 0x007F, "Basic Latin"), (0x0080, 0x00FF, "Latin-1 Supplement"), (0x0100, 0x017F, "Latin Extended-A"), (0x0370, 0x03FF, "Greek and Coptic"), (0x2000, 0x206F, "General Punctuation")]
+# Unicode blocks that texts in alphabetic scripts use.
+BLOCKS = """0000..007F; Basic Latin
+0080..00FF; Latin-1 Supplement
+0100..017F; Latin Extended-A
+0180..024F; Latin Extended-B
+0250..02AF; IPA Extensions
+02B0..02FF; Spacing Modifier Letters
+0300..036F; Combining Diacritical Marks
+0370..03FF; Greek and Coptic
+0400..04FF; Cyrillic
+0530..058F; Armenian
+0590..05FF; Hebrew
+0600..06FF; Arabic
+1E00..1EFF; Latin Extended Additional
+1F00..1FFF; Greek Extended
+2000..206F; General Punctuation
+2070..209F; Superscripts and Subscripts
+20A0..20CF; Currency Symbols
+2100..214F; Letterlike Symbols
+2190..21FF; Arrows
+2200..22FF; Mathematical Operators
+2500..257F; Box Drawing
+2600..26FF; Miscellaneous Symbols
+3000..303F; CJK Symbols and Punctuation
+3040..309F; Hiragana
+30A0..30FF; Katakana
+4E00..9FFF; CJK Unified Ideographs
+AC00..D7AF; Hangul Syllables"""
 
 
 @query(f"""
-WITH b(a, z, name) AS (VALUES {values(BLOCKS)}), c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents)
-SELECT name, count(*) AS n FROM c JOIN b ON unicode(ch) BETWEEN a AND z GROUP BY ALL""")
+WITH b AS (SELECT CAST('0x' || split_part(x, '..', 1) AS BIGINT) AS a, CAST('0x' || regexp_extract(x, '[.][.]([0-9A-F]+)', 1) AS BIGINT) AS z, split_part(x, '; ', 2) AS name FROM (SELECT unnest(string_split({quoted(BLOCKS)}, chr(10))) AS x)), c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')
+SELECT coalesce(name, 'No_Block') AS name, count(*) AS n FROM c LEFT JOIN b ON unicode(ch) BETWEEN a AND z GROUP BY ALL""")
 def unicode_block_of_char(spark, sf_dir):
-    """Characters by block: counted by character first, then a range join of a few rows."""
-    b = spark.createDataFrame(BLOCKS, "a int, z int, name string")
-    c = read(spark, sf_dir, "documents").select(F.explode(chars(F.col("text"))).alias("ch")).groupBy(F.ascii("ch").alias("cp")).agg(F.count("*").alias("n"))
-    return c.join(F.broadcast(b), F.col("cp").between(F.col("a"), F.col("z"))).groupBy("name").agg(F.sum("n").alias("n"))
+    """Characters by block, those of no listed block too."""
+    blocks = tables.unicode_blocks(spark.createDataFrame([(x,) for x in BLOCKS.split("\n")], "value string"))
+    c = dealt(read(spark, sf_dir, "documents")).where("text <> ''").select(F.explode(chars(F.col("text"))).alias("ch")).groupBy(F.ascii("ch").alias("cp")).agg(F.count("*").alias("n"))
+    return search.in_blocks(c, blocks).groupBy(F.coalesce("name", F.lit("No_Block")).alias("name")).agg(F.sum("n").alias("n"))
 
 
 # Dictionary search
@@ -425,14 +495,14 @@ def style_combination(spark, sf_dir):
     return x.select("style", T.combined_key(F.col("style")).alias("key"))
 
 
-DESCRIBED = "αΩ∞é♂"
-
-
-@query(f"SELECT * FROM (VALUES {values((c, f'U+{ord(c):04X}', '<:' + default().spelled[c] + '>') for c in DESCRIBED)}) v(text, code_points, tag)")
+@query(f"""
+WITH d(text, form) AS (VALUES {values(LATIN.items())}), c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[À-ÿ]')) AS text FROM documents)
+SELECT text, 'U+' || printf('%04X', unicode(text)) AS code_points, '<:' || form || '>' AS tag FROM c LEFT JOIN d USING (text)""")
 def character_description(spark, sf_dir):
-    tables = default().tables(spark)
-    x = spark.createDataFrame([(c,) for c in DESCRIBED], "text string")
-    return search.describe(x, tables["chars"], tables["names"]).select("text", "code_points", "tag")
+    """The letters of Latin-1 that texts have."""
+    dictionary = default().tables(spark)
+    x = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([À-ÿ])"), F.lit(1))).alias("text")).distinct()
+    return search.describe(x, dictionary["chars"], dictionary["names"]).select("text", "code_points", "tag")
 
 
 READINGS = {"ba": "𐀀", "ko": "𐀒", "mi": "𐀖", "tu": "𐀶", "zen": "𐀽"}
@@ -472,3 +542,188 @@ def editor_state(spark, sf_dir):
     source = F.concat(F.lit("<:bold> a <:/bold> <:alpha/> <:greek> b "), F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("<:>"), F.when(F.col("n_nationkey") % 3 == 0, "<:al").otherwise("x"))
     blocks = F.array(F.lit("bold"), F.lit("greek"))
     return read(spark, sf_dir, "nation").select("n_nationkey", search.tag_to_close(source, blocks).alias("open_block"), search.open_tag(source).alias("typed"))
+
+
+# Dictionary tables
+
+
+@query("""
+WITH s AS (SELECT DISTINCT (p_partkey % 17) * 252645135 AS start FROM part), c AS (SELECT start, CAST(row_number() OVER (ORDER BY start) - 1 AS INTEGER) AS chunk FROM s),
+k AS (SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS h FROM part)
+SELECT p_partkey, h, chunk FROM k ASOF LEFT JOIN c ON h >= start""")
+def chunk_of_key(spark, sf_dir):
+    """The chunk that a key belongs to: the last one that starts at or before its hash."""
+    keys = read(spark, sf_dir, "part").select("p_partkey", T.hash31(F.col("p_name")).alias("h"))
+    return packing.chunk_of(keys, "h", [i * 252645135 for i in range(17)])
+
+
+@query("""
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part), r AS (SELECT name, sum(strlen(name)) OVER (ORDER BY length(name), name ROWS UNBOUNDED PRECEDING) AS upto FROM n)
+SELECT name FROM r WHERE upto <= 2000""")
+def common_chunk(spark, sf_dir):
+    """The shortest names that fit 2000 bytes."""
+    n = read(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).distinct().withColumn("length", F.length("name"))
+    return packing.within_budget(n, F.octet_length("name"), 2000, "length", "name").select("name")
+
+
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
+def names_outside(spark, sf_dir):
+    """Names of which no entry is in the common chunk."""
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_name").alias("name")).distinct().join(p.where("p_size <= 25").select(F.col("p_name").alias("name")), "name", "left_anti")
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS text, split_part(p_name, ' ', 1) AS reading, p_size AS rank FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY rank, text) AS k FROM r)
+SELECT text, reading, CASE WHEN reading < 'g' THEN reading || '.' || (k + 1 + CAST(k + 1 >= 3 AS INTEGER)) WHEN k = 1 THEN reading ELSE reading || '.' || k END AS key FROM k""")
+def homophone_numbers(spark, sf_dir):
+    """Holders of a reading, numbered by rank; the bare reading and the third number of some are taken."""
+    p = read(spark, sf_dir, "part")
+    readings = p.select(F.col("p_partkey").alias("text"), F.substring_index("p_name", " ", 1).alias("reading"), F.col("p_size").alias("rank"))
+    some = readings.select("reading").where("reading < 'g'").distinct()
+    return packing.numbered_homophones(readings, some.select(F.explode(F.array("reading", F.concat("reading", F.lit(".3")))).alias("key")))
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS text, string_split(p_name, ' ') AS w, p_size AS own FROM part), e AS (SELECT text, own, unnest(w) AS reading, generate_subscripts(w, 1) AS place FROM r)
+SELECT text, reading, CAST(row_number() OVER (PARTITION BY reading ORDER BY place, own, text) AS INTEGER) AS k FROM e""")
+def first_readings(spark, sf_dir):
+    """Holders of a reading: those that have it as their first one come before those that have it as their second."""
+    x = packing.firsts_first(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("text"), F.split("p_name", " ").alias("readings"), F.col("p_size").alias("rank")))
+    return x.select("text", "reading", F.row_number().over(Window.partitionBy("reading").orderBy("rank")).alias("k"))
+
+
+@query("""
+WITH u AS (SELECT n_name AS text, 0 AS part, n_nationkey AS rank FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_name, 1, -n_nationkey FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_name, 2, n_nationkey FROM nation)
+SELECT text, CAST(part AS INTEGER) AS part, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY part, rank) AS r FROM u) WHERE r = 1""")
+def interleaved_priority(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("text"), F.col("n_nationkey").alias("rank"))
+    return packing.interleaved(n.where("rank < 5"), n.where("rank % 3 = 0").withColumn("rank", -F.col("rank")), n)
+
+
+@query("""
+WITH g AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_brand, p_partkey, CASE WHEN i = 1 THEN 'first' WHEN i = n THEN 'last' ELSE 'middle' END AS place FROM g WHERE i = 1 OR i = n OR i = (n + 1) // 2""")
+def boundary_samples(spark, sf_dir):
+    return packing.boundary_samples(read(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey")
+
+
+#: Composite names made of parts: plain, a block's own, controls and operands.
+COMPOSED = "SELECT CASE p_size % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN p_brand || ' ' WHEN 2 THEN p_brand || ' *suffix' ELSE p_brand || ' ' || p_name END AS name, p_type AS text FROM part"
+
+
+@query(f"""
+WITH c AS ({COMPOSED.replace('p_brand', "replace(p_brand, ' ', '')")})
+SELECT kind, count(*) AS n, count(DISTINCT word) AS words FROM (SELECT CASE WHEN name NOT LIKE '% %' THEN 'name' WHEN name LIKE '% ' THEN 'block' WHEN name LIKE '% *%' THEN 'control' ELSE 'operand' END AS kind, CASE WHEN name LIKE '% %' THEN split_part(name, ' ', 1) END AS word FROM c) GROUP BY kind""")
+def names_by_kind(spark, sf_dir):
+    word, size = F.replace("p_brand", F.lit(" "), F.lit("")), F.col("p_size") % 4
+    name = F.when(size == 0, F.replace("p_name", F.lit(" "), F.lit("-"))).when(size == 1, F.concat(word, F.lit(" "))).when(size == 2, F.concat(word, F.lit(" *suffix"))).otherwise(F.concat_ws(" ", word, "p_name"))
+    x = search.kinds(read(spark, sf_dir, "part").select(name.alias("name"), F.col("p_type").alias("text")))
+    return x.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("word").alias("words"))
+
+
+def _operands(spark, sf_dir):
+    """Operands of parts by brand, some of them also in capitals."""
+    o = read(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.explode(F.split("p_name", " ")).alias("operand"), F.col("p_type").alias("text"))
+    return o.unionByName(o.where("operand < 'm'").withColumn("operand", F.initcap("operand"))).distinct()
+
+
+OPERANDS = """o AS (SELECT p_brand AS block, unnest(string_split(p_name, ' ')) AS operand, p_type AS text FROM part),
+a AS (SELECT DISTINCT * FROM (SELECT * FROM o UNION ALL SELECT block, upper(operand[1]) || operand[2:], text FROM o WHERE operand < 'm'))"""
+
+
+@query(f"WITH {OPERANDS} SELECT block, operand, text FROM a WHERE NOT (operand < 'm' AND operand = lower(operand))")
+def cased_operands(spark, sf_dir):
+    """Operands without twins in lower case."""
+    return search.without_twins(_operands(spark, sf_dir))
+
+
+@query(f"""
+WITH {OPERANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY length(operand), operand, text) AS r FROM a)
+SELECT block, count(*) AS size, string_agg(text, ' ' ORDER BY r) FILTER (r <= 3) AS samples FROM r GROUP BY block""")
+def block_groups(spark, sf_dir):
+    """Block words with their size and three samples."""
+    return search.group_summary(_operands(spark, sf_dir))
+
+
+@query(f"WITH {OPERANDS} SELECT 'other' AS block, operand, text, true AS one_way FROM a WHERE block = 'Brand#11'")
+def borrowed_block(spark, sf_dir):
+    return search.borrowed(_operands(spark, sf_dir), "Brand#11", "other")
+
+
+@query("SELECT item_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS line FROM benchmark")
+def final_newline(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", tables.with_final_newline(F.col("text")).alias("line"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS name, text FROM conversations WHERE NOT regexp_matches(text, '[\n\t]')")
+def names_dump(spark, sf_dir):
+    return tables.printable_names(read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("name"), "text"))
+
+
+@query(r"""
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')
+SELECT ch, NOT regexp_matches(ch, '[\p{L}\p{M}]') OR regexp_matches(ch, '[\p{Latin}]') AND ch NOT IN ('ª', 'º') AS common FROM c""".replace("\\\\", "\\"))
+def common_characters(spark, sf_dir):
+    """Characters of texts that are common in all scripts."""
+    c = read(spark, sf_dir, "documents").where("text <> ''").select(F.explode(chars(F.col("text"))).alias("ch")).distinct()
+    names = default().tables(spark)["names"].where("name like '%-letter-%' or name like 'combining-%'").select(F.col("text").alias("ch"), "name")
+    named = c.join(names.groupBy("ch").agg(F.min("name").alias("name")), "ch", "left")
+    return named.select("ch", packing.common_everywhere(F.col("ch"), F.coalesce("name", F.lit(""))).alias("common"))
+
+
+def _sections(spark, sf_dir):
+    """Entries of a dictionary made of the tables: names of parts in three sections, and brands as blocks."""
+    p = read(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("key"), F.concat_ws("", F.lit("ſ"), F.col("p_partkey").cast("string")).alias("value"), F.col("p_partkey").alias("n"), "p_size", "p_brand")
+    section = F.element_at(F.array(F.lit("html"), F.lit("own"), F.lit("names")), (F.col("p_size") % 3 + 1).cast("int"))
+    plain = p.select(section.alias("section"), F.lit(None).cast("string").alias("table"), "key", "value", "n")
+    blocks = p.where("p_size = 7").select(F.lit("blocks").alias("section"), F.concat(F.lit("b"), F.regexp_extract("p_brand", "[0-9]+", 0)).alias("table"), "key", "value", "n")
+    alias = spark.createDataFrame([("block-aliases", None, "again", "b11", 0)], etl.ENTRIES)
+    return plain.unionByName(blocks).unionByName(alias)
+
+
+@query("""
+WITH p AS (SELECT replace(p_name, ' ', '-') AS name, 'ſ' || p_partkey AS text, p_partkey AS n, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS rank FROM part)
+SELECT name, text FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, n) AS r FROM p) WHERE r = 1""")
+def section_precedence(spark, sf_dir):
+    """The text of each name: own names before Unicode names before HTML names, the first of a section."""
+    return etl.compiled(_sections(spark, sf_dir))["names"].select("name", "text")
+
+
+@query("""
+WITH p AS (SELECT replace(p_name, ' ', '-') AS name, 'ſ' || p_partkey AS text, p_partkey AS n, p_size, 'b' || regexp_extract(p_brand, '[0-9]+') AS block, CASE p_size % 3 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 1 END AS rank FROM part),
+b AS (SELECT block, name, text FROM (SELECT *, row_number() OVER (PARTITION BY block, name ORDER BY n) AS r FROM p WHERE p_size = 7) WHERE r = 1)
+SELECT block, name AS operand, text FROM b UNION ALL SELECT 'again', name, text FROM b WHERE block = 'b11'""")
+def aliased_blocks(spark, sf_dir):
+    """Operands of blocks, and of a block under an alias."""
+    return etl.compiled(_sections(spark, sf_dir))["block_entries"].select("block", F.col("key").alias("operand"), "text")
+
+
+@query("""
+WITH p AS (SELECT replace(p_name, ' ', '-') AS name, p_size, p_brand FROM part)
+SELECT 'names' AS "table", count(DISTINCT name) AS rows FROM p UNION ALL SELECT 'block_entries', count(DISTINCT (p_brand, name)) + count(DISTINCT name) FILTER (p_brand = 'Brand#11') FROM p WHERE p_size = 7""")
+def table_counts(spark, sf_dir):
+    return etl.counts({k: v for k, v in etl.compiled(_sections(spark, sf_dir)).items() if k in ("names", "block_entries")})
+
+
+@query("SELECT n_nationkey, 'α' || n_name AS text, '𝔄' AS styled, n_nationkey % 2 = 0 AS own FROM nation")
+def stored_dictionary(spark, sf_dir):
+    """Conversion by a dictionary that was written and read again."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{where.rstrip('/')}/dictionary-{uuid.uuid4().hex}"
+    store(default(), spark, path)
+    e = Engine(spark, path)
+    x = read(spark, sf_dir, "nation").select("n_nationkey", e.to_unicode(F.concat(F.lit("<:alpha/>"), "n_name")).alias("text"), e.to_unicode(F.lit("\\:fracture-A")).alias("styled"))
+    return x.withColumn("own", F.col("n_nationkey") % 2 == 0)
+
+
+@query("SELECT n_nationkey, 'N' || n_nationkey || ' β' AS text FROM nation")
+def overlay_names(spark, sf_dir):
+    """Names of an overlay before those of the dictionary."""
+    n = read(spark, sf_dir, "nation")
+    name = F.concat(F.lit("land-"), F.col("n_nationkey").cast("string"))
+    own = n.select(F.lit("own").alias("section"), F.lit(None).cast("string").alias("table"), name.alias("key"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("value"), F.col("n_nationkey").cast("long").alias("n"))
+    alpha = spark.createDataFrame([("own", None, "alpha", "β", 99)], etl.ENTRIES)
+    base = spark.createDataFrame([("own", None, "alpha", "α", 0), ("own", None, "land-1", "x", 1)], etl.ENTRIES)
+    e = Engine(spark, compile_entries(etl.layered(own.unionByName(alpha), base)))
+    return n.select("n_nationkey", e.to_unicode(F.concat(F.lit("<:"), name, F.lit("/> <:alpha/>"))).alias("text"))

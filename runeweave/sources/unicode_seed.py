@@ -116,7 +116,9 @@ def blocks() -> dict[str, dict[str, str]]:
             base = "".join(chr(int(x, 16)) for x in rest.split())
             block = style_of(name) if kind == "<font>" else DECOMPOSED.get(kind)
             if block and not re.search(r"(ISOLATED|INITIAL|MEDIAL|FINAL) FORM|HALFWIDTH|ARABIC|HEBREW|ORDINAL INDICATOR", name):
-                out.setdefault(block, {}).setdefault(unicodedata.normalize("NFKC", base), c)
+                forms, letter = out.setdefault(block, {}), unicodedata.normalize("NFKC", base)
+                if letter not in forms or name.startswith("MATHEMATICAL "):  # letterlike symbols fill the holes of the mathematical ones
+                    forms[letter] = c
         if m := re.match(r"LATIN (?:SMALL|CAPITAL) LETTER (TURNED|REVERSED) (.)$", name):
             out.setdefault(m[1].lower(), {}).setdefault(m[2].lower() if "SMALL" in name else m[2], c)
         if m := re.match(r"EGYPTIAN HIEROGLYPH ([A-Z]+)0*(\d+)([A-Z]?)$", name):
@@ -127,6 +129,7 @@ def blocks() -> dict[str, dict[str, str]]:
             out.setdefault(m[1].lower(), {}).setdefault(m[2].lower().replace(" ", "-"), c)
     for colour, letter in COLOURS.items():
         out.setdefault(colour, {}).update({"*suffix": chr(0xE0000 + ord(letter)), "*meta": f"color {colour}", **NOT_SIGNS})
+    out["italic"]["h"] = "\u210e"  # named after Planck
     out.setdefault("fullwidth", {}).update({chr(c): chr(c + 0xFEE0) for c in range(0x21, 0x7F)})
     out["greek"] = GREEK | {n: unicodedata.lookup(f"GREEK SMALL LETTER {n.upper()}") for n in GREEK_NAMES.split()} | {n.capitalize(): unicodedata.lookup(f"GREEK CAPITAL LETTER {n.upper()}") for n in GREEK_NAMES.split()} | {"lambda": "λ", "Lambda": "Λ"}
     out |= EFFECTS | GROUPS
