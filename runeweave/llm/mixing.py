@@ -9,14 +9,19 @@ and for every order of rows.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_enough
 
-#: Rounds over all margins, and of those the rounds in one job.
+#: Rounds over all margins at least and at most, and of those the rounds in one job.
 ROUNDS = 12
+MOST_ROUNDS = 96
 A_JOB = 3
+#: Share of all tokens that a margin may be off its target.
+TOLERANCE = 1e-6
 MARGINS = ("source", "lang", "topic")
 
 
@@ -47,21 +52,41 @@ def targets(cells: DataFrame, margin: str, given: dict[str, float] | None, power
     return x.crossJoin(F.broadcast(x.agg(F.sum("weight").alias("all")))).select(margin, F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(0.0).alias(f"{margin}_share"))
 
 
-def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with `weight`: raked to the margins' shares of all tokens. A margin's value with no tokens or no weight gets none."""
+def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with `weight`: raked to the margins' shares of all tokens. A margin's value with no tokens or no weight gets none.
+
+    After `rounds` rounds, more follow until no margin is off by more than the tolerance; targets
+    that cannot be met together (a share for cells without tokens) are left off with a warning.
+    """
     x = cells
     for m in MARGINS:
         x = x.join(targets(cells, m, (given or {}).get(m), power), m)
-    x = cut(x.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0)))).withColumn("weight", F.col("tokens").cast("double")))
-    for r in range(rounds):
-        for m in MARGINS:
-            have = F.sum("weight").over(Window.partitionBy(m))
-            x = x.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"{m}_share") * F.col("total") / have).otherwise(0.0))
-        if (r + 1) % A_JOB == 0 or r + 1 == rounds:
-            x = cut(x)
+    total = F.broadcast(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")))
+    x = cut(x.crossJoin(total).withColumn("weight", F.col("tokens").cast("double")))
+    done = 0
+    while True:
+        for _ in range(A_JOB):
+            for m in MARGINS:
+                have = F.sum("weight").over(Window.partitionBy(m))
+                x = x.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"{m}_share") * F.col("total") / have).otherwise(0.0))
+            done += 1
+        x = cut(x)
+        if done >= rounds:
+            off = residual(x)
+            if off <= tolerance:
+                break
+            if done >= most:
+                warnings.warn(f"margins are off by up to {off:.3g} of all tokens after {done} rounds", stacklevel=2)
+                break
     return x.select(*MARGINS, "tokens", "weight")
 
 
+def residual(raked: DataFrame) -> float:
+    """The most that a margin's share is off its target."""
+    off = [raked.groupBy(m).agg(F.abs(F.sum("weight") / F.max("total") - F.max(f"{m}_share")).alias("off")).select("off") for m in MARGINS]
+    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max(F.coalesce("off", F.lit(0.0)))).first()[0] or 0.0
+
+
 def probabilities(raked: DataFrame) -> DataFrame:
     """(source, lang, topic, p): the largest rates with the raked proportions; cells without tokens have rate 1, as they weigh nothing."""
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
@@ -79,7 +104,7 @@ def mixed(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, pow
     """(doc_id, source, lang, topic, tokens, p, kept) of each row of docs.
 
     Null sources and languages are a value of their own, written "". A null or empty text has no
-    tokens and is kept.  Without given weights a margin's shares follow its tokens to `power`, which
+    tokens and is drawn at its cell's rate like any other.  Without given weights a margin's shares follow its tokens to `power`, which
     raises rare values.  Rows that repeat an id are kept or not together if their cells are the
     same.  An empty table gives no rows.
     """

@@ -16,13 +16,14 @@ block of queries; only each chunk's k best leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .vectors import BLOCK, by_length, clean, largest, query_blocks, stacked
 
 #: Bits of a substring.
@@ -94,8 +95,10 @@ class Index:
             reach = min(a if j <= b else a - 1, PART_BITS)
             if reach < 0:
                 continue
-            for value in self.near[reach] ^ code[j]:
-                hit[self.order[self.start[j, value] : self.start[j, int(value) + 1], j]] = True
+            values = (self.near[reach] ^ code[j]).astype(np.int64)
+            first, n = self.start[j, values], self.start[j, values + 1] - self.start[j, values]
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hit[self.order[at, j]] = True
         rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.packed[rows] ^ code).sum(axis=1) <= radius]
 
@@ -105,8 +108,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 128, sa
 
     Queries: rows whose id is divisible by `every`; candidates: all rows of the same length and
     another id.  The index is fitted on at most `sample_rows` rows, taken by a hash of the id, and
-    holds every row.  A query that finds fewer than k rows of a chunk within the radius gets the
-    chunk's rows compared without it.  Vectors null, empty, zero, or with null or non-finite
+    holds every row.  A query that finds fewer than k rows within the radius is searched again with
+    the widest radius, which holds every row.  Vectors null, empty, zero, or with null or non-finite
     components, and rows without an id, take no part; an empty table gives no rows; repeated rows
     are candidates each.
     """
@@ -124,12 +127,24 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, bits: int = 128, sa
 
 
 def _search(whole: DataFrame, block: list, learned: dict[int, Codes], k: int) -> DataFrame:
+    """The block's queries within the radius; those that found too few, of candidates enough, without one."""
+    found = cut(_probed(whole, block, learned, k))
+    enough = {r[0] for r in found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").collect()}
+    few = [(i, v) for i, v in block if i not in enough]
+    if not few:
+        return found
+    widest = {n: replace(c, radius=c.rotations.shape[1]) for n, c in learned.items()}
+    rest = [i for i, _ in few]
+    return found.where(~F.col("query_id").isin(rest)).unionByName(_probed(whole, few, widest, k))
+
+
+def _probed(whole: DataFrame, block: list, learned: dict[int, Codes], k: int) -> DataFrame:
     sent = whole.sparkSession.sparkContext.broadcast((stacked(block), learned))
 
     def probe(batches: Iterator[pa.RecordBatch]):
         queries, codes = sent.value
         for b in batches:
-            out = []
+            out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
             for n, ids, x in by_length(np.asarray(b.column("vec_id")), b.column("v")):
                 if n not in queries:
                     continue
@@ -140,13 +155,12 @@ def _search(whole: DataFrame, block: list, learned: dict[int, Codes], k: int) ->
                 for i, query in enumerate(qid):
                     rows = index.within(coded[i], codes[n].radius) if index else np.arange(len(ids))
                     rows = rows[ids[rows] != query]
-                    if len(rows) < k:
-                        rows = np.flatnonzero(ids != query)
                     score = np.einsum("ij,j->i", x[rows], q[i])
-                    out += [{"query_id": int(query), "vec_id": int(ids[rows[j]]), "score": float(score[j])} for j in largest(score, ids[rows], k)]
-            yield pa.RecordBatch.from_pylist(out, schema=shape)
+                    best = largest(score, ids[rows], k)
+                    for column, values in zip(out, (np.full(len(best), query), ids[rows[best]], score[best])):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    shape = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = whole.mapInArrow(probe, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,13 +8,16 @@ shuffled, and a row is rewritten once a tier until its shard reaches the target
 
 A manifest lists the shards that make up a version.  It is written under a temporary name and moved
 to v<N>.json, which fails if that version exists: of two writers one wins, and the other, having
-changed no listed file, may start again from the new version.  Readers see a version whole or not.
-Shards that no version to be kept lists are removed by `vacuum`.
+changed no listed file, starts again from the new version.  Readers see a version whole or not.
+`vacuum` removes shards that an older manifest lists and the versions to be kept do not, once they
+are old enough for their readers to be done; what no manifest has listed yet belongs to a writer
+that has not committed, and stays.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -91,8 +94,21 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Commit the rows of df as new shards, one for each partition that has rows."""
-        known = self.versions()
-        return self.commit(self.shards() + self._written(df), known[-1] if known else 0)
+        written = self._written(df)
+        return self._changed(lambda shards: shards + written)
+
+    def _changed(self, change, tries: int = 20) -> int:
+        """Commit a change of the shards, of the newest version each time another writer has been faster. A change that gives None is off: returns 0."""
+        for _ in range(tries):
+            version = (self.versions() or [0])[-1]
+            shards = change(self.shards(version) if version else [])
+            if shards is None:
+                return 0
+            try:
+                return self.commit(shards, version)
+            except Conflict:
+                continue
+        raise Conflict(f"{tries} versions were committed by others")
 
     def tier(self, size: int) -> int:
         t = 0
@@ -100,10 +116,14 @@ class ShardStore:
             t += 1
         return t
 
-    def compact(self) -> int:
-        """Merge tiers until none has `fanout` shards below the target; returns the last version. Each round is a commit."""
+    def compact(self, reclaim: float | None = None) -> int:
+        """Merge tiers until none has `fanout` shards below the target; returns the last version. Each round is a commit.
+
+        reclaim: vacuum shards after each round that are older than so many seconds; by default none.
+        """
         while True:
-            version, shards = (self.versions() or [0])[-1], self.shards()
+            version = (self.versions() or [0])[-1]
+            shards = self.shards(version) if version else []
             tiers: dict[int, list[Shard]] = {}
             for s in shards:
                 if s.size < self.target:
@@ -115,10 +135,18 @@ class ShardStore:
             for t, own in sorted(ready.items()):
                 merged += self._merged(own, min(self.target, self.small * self.fanout ** (t + 1)))
                 gone |= {s.path for s in own}
-            if len(merged) >= len(gone):
-                return version
-            self.commit([s for s in shards if s.path not in gone] + merged, version)
-            self.vacuum()
+            fewer = len(merged) < len(gone)
+
+            def swapped(now: list[Shard]) -> list[Shard] | None:
+                return [s for s in now if s.path not in gone] + merged if gone <= {s.path for s in now} else None
+
+            if not fewer or not self._changed(swapped):
+                for s in merged:  # no version lists them
+                    self._fs.delete(self._path(s.path), False)
+                if not fewer:
+                    return version
+            elif reclaim is not None:
+                self.vacuum(retention=reclaim)
 
     def _merged(self, own: list[Shard], size: int) -> list[Shard]:
         """Shards of about `size` bytes from whole ones, packed by the reader: a map-only job."""
@@ -127,20 +155,22 @@ class ShardStore:
             session.conf.set(f"spark.sql.files.{key}", value)
         return self._written(session.read.parquet(*[s.path for s in own]))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Remove shards that none of the last `keep` versions lists, and older manifests."""
+    def vacuum(self, keep: int = 1, retention: float = 7 * 86400.0) -> None:
+        """Remove the shards that only manifests before the last `keep` list and that are older than `retention` seconds, and manifests whose shards are all gone or kept."""
         known = self.versions()
         listed = {s.path for v in known[-keep:] for s in self.shards(v)}
+        before = (time.time() - retention) * 1000
         for v in known[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/manifests/v{v}.json"), False)
-        for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            files = [f.getPath() for f in self._fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
-            if not any(f.toString() in listed for f in files):
-                self._fs.delete(folder.getPath(), True)
-            else:
-                for f in files:
-                    if f.toString() not in listed:
-                        self._fs.delete(f, False)
+            left = False
+            for path in {s.path for s in self.shards(v)} - listed:
+                file = self._path(path)
+                if self._fs.exists(file):
+                    if self._fs.getFileStatus(file).getModificationTime() <= before:
+                        self._fs.delete(file, False)
+                    else:
+                        left = True
+            if not left:
+                self._fs.delete(self._path(f"{self.root}/manifests/v{v}.json"), False)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
         """The rows of a version; an empty version needs a schema."""
@@ -154,11 +184,12 @@ def arrive_and_compact(spark: SparkSession, sf_dir: str, arrivals: int = 4, targ
     """A store in the shared folder that `documents` has reached in several arrivals and that has been compacted; and its rows.
 
     Rows arrive by a hash of the id, whatever its type; nulls, empty texts and repeated rows are
-    rows like others.  An arrival without rows adds no shard.
+    rows like others.  An arrival without rows adds no shard.  Target and first tier are smaller than
+    the store's own, so that a small table makes several tiers too.
     """
     docs = read(spark, sf_dir, "documents")
     store = ShardStore(spark, shared_path(spark, "shards"), target, small)
     for i in range(arrivals):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == i))
-    store.compact()
+    store.compact(reclaim=0)  # nobody else reads this store
     return store, store.read(schema=docs.schema)

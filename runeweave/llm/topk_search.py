@@ -9,8 +9,9 @@ candidate's score is the sum over the lists.  With every list shifted so that it
    t / lists where not) for each candidate seen;
 3. only candidates whose upper bound reaches the better cutoff are resolved exactly.
 
-Candidates stay where they are: a task holds a chunk of them with all lists, only bounds and
-survivors move.  Queries are broadcast in blocks of bounded size.
+Candidates stay where they are: a task goes through them in tiles of bounded size with all lists,
+only bounds and survivors move.  Queries are broadcast in blocks of bounded size.  Local scores are
+not kept between the phases: the second job computes them again, which costs less than storing them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .vectors import BLOCK, by_length, clean, largest, query_blocks, stacked
 
 #: Sums up to this are exact in double precision.
 EXACT = float(1 << 53)
+#: Bytes of the local scores that a task holds at once.
+TILE = 16 << 20
 
 
 def _lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
@@ -37,6 +40,11 @@ def _lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
     return [q[:, part] @ x[:, part].T for part in np.array_split(np.arange(q.shape[1]), min(lists, q.shape[1]))]
 
 
+def _cutoff(t: float, low: list[float]) -> tuple[float, list[float]]:
+    """The cutoff and the least values as they are; no cutoff where a double may have rounded one of them."""
+    return (t if max(map(abs, [t, sum(low), *low])) < EXACT else -np.inf), low
+
+
 def _long(x) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, int(x)))
 
@@ -68,7 +76,9 @@ def _search(whole: DataFrame, block: list, k: int, lists: int) -> DataFrame:
             for n, ids, x in by_length(np.asarray(b.column("vec_id")), b.column("v")):
                 if n in sent.value:
                     qid, q = sent.value[n]
-                    yield qid, ids, _lists(q, x, lists)
+                    tile = max(1, TILE // (8 * lists * len(qid)))
+                    for i in range(0, len(ids), tile):
+                        yield qid, ids[i : i + tile], _lists(q, x[i : i + tile], lists)
 
     def first(batches):
         """Phase 1: each list's k best entries of the chunk, as whole-score bounds, and the lists' least values."""
@@ -89,7 +99,7 @@ def _search(whole: DataFrame, block: list, k: int, lists: int) -> DataFrame:
     bounds = cut(whole.mapInArrow(first, "query_id long, low array<double>, bound double"))
     best = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound")))).where(f"r <= {k}").groupBy("query_id").agg(F.min("bound").alias("t"), F.count("*").alias("n"))
     lows = bounds.select("query_id", F.posexplode("low")).groupBy("query_id", "pos").agg(F.min("col").alias("low")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "low"))).alias("low"))
-    safe = {r["query_id"]: (r["t"] if r["n"] == k else -np.inf, [x["low"] for x in r["low"]]) for r in best.join(lows, "query_id").collect()}
+    safe = {r["query_id"]: _cutoff(r["t"] if r["n"] == k else -np.inf, [x["low"] for x in r["low"]]) for r in best.join(lows, "query_id").collect()}
     cutoffs = spark.sparkContext.broadcast(safe)
 
     def second(batches):

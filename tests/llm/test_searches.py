@@ -73,3 +73,20 @@ def test_nearest_recall_and_order(spark):
         total += 5
     assert hit / total >= 0.9
     assert 5050 not in got and 5100 not in got
+
+
+def test_queries_with_few_rows_in_the_radius_are_searched_again(spark):
+    df, rows = table(spark, 200, 16, 4)
+    from runeweave.llm import multi_index
+
+    near = multi_index.nearest(df, reach=0.0, sample_rows=64)  # a radius that hardly any row is in
+    own = usable(rows, False)
+    want = {q: min(5, sum(len(own[i]) == len(own[q]) for i in own) - 1) for q in own if q % 50 == 0}
+    got = {r.query_id: r.n for r in near.groupBy("query_id").count().withColumnRenamed("count", "n").collect()}
+    assert got == {q: n for q, n in want.items() if n}
+
+
+def test_cutoffs_that_a_double_may_round_are_off():
+    from runeweave.llm.topk_search import _cutoff
+
+    assert _cutoff(float(1 << 54), [0.0]) == (-np.inf, [0.0]) and _cutoff(7.0, [1.0]) == (7.0, [1.0])

@@ -307,3 +307,53 @@ def test_bands_that_many_share_are_known_at_once():
     part, pairs = packed(np.stack([np.full(50, 7), (nodes << 33) + nodes + 100], axis=1), nodes, 4)
     assert sum(len(np.frombuffer(p, PAIR)) for p in pairs[:-1]) == 51 and part[-1] is None
     assert sorted(np.frombuffer(pairs[-1], np.int64).reshape(-1, 2)[:, 1].tolist()) == list(range(50))
+
+
+def test_two_writers_of_a_store(spark, tmp_path):
+    x = docs(spark, [words(60, i) for i in range(80)])
+    a, b = (sharding.ShardStore(spark, f"file://{tmp_path}/store", target=40_000, small=4_000, fanout=2) for _ in range(2))
+    for i in range(3):
+        a.append(x.where(f"doc_id % 4 = {i}"))
+    written = b._written(x.where("doc_id % 4 = 3"))  # the other writer has not committed yet
+    a.compact(reclaim=0)
+    a.vacuum(retention=0)
+    b._changed(lambda shards: shards + written)
+    assert sorted(r.doc_id for r in a.read().collect()) == list(range(80))
+    old = a.versions()[-1]
+    a.compact()
+    assert sorted(r.doc_id for r in a.read(old).collect()) == list(range(80))
+
+
+def test_mixing_warns_of_targets_that_cannot_be_met(spark):
+    x = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="margins are off"):
+        mixing.rake(x, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, most=15)
+    raked = mixing.rake(x, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.9, "y": 0.1}})
+    assert raked.where("weight is null").count() == 0
+
+
+PLANTED = [
+    ("call me at (743) 555-3824 or", "number:11:25"), ("handy 743-555-3824 und", "number:6:18"), ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" the', "secret:9:49"),
+    ("write to jane.doe (at) mail.org please", "address:9:31"), ("mail me: ann at example dot net", "address:9:31"), ("transfer to DE44 5001 0517 5407 3249 31 now", "account:12:39"),
+]
+CLEAN = ["order 1234567 on 2019-01-02", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of", "isbn 978-3-16-148410-0 said", "about 100 000 000 of them", "version 10.2.33.44444 was", "serial 5927243074273350 of", "see chapter-eleven-1999-revised-fo there", "look at that one dot on it"]
+
+
+def test_planted_variants_are_added_and_others_are_not(spark):
+    r = random.Random(3)
+    noise = [f"{words(8, i)} +1 ({r.randrange(1000):03}) 555-{r.randrange(10000):04} {words(6, i + 500)} {words(1, i)}.{i}@mail{i % 9}.example.com {words(5, i)} {r.randrange(10**15, 10**16)} on" for i in range(300)]
+    x = docs(spark, [t for t, _ in PLANTED] + CLEAN + noise)
+    got = {r.doc_id: r.spans for r in personal_data.digest(x).collect()}
+    hit = sum(span in got[i].split(",") for i, (_, span) in enumerate(PLANTED))
+    false = [CLEAN[i] for i in range(len(CLEAN)) if got[len(PLANTED) + i]]
+    print("caught", hit, "of", len(PLANTED), "false", false)
+    assert hit >= 5 and len(false) <= 1
+    assert all(got[len(PLANTED) + len(CLEAN) + i].count(":") == 4 or "card" in got[len(PLANTED) + len(CLEAN) + i] for i in range(300))
+
+
+def test_places_of_many_matches_are_in_proportion(spark):
+    text = "a1@b.co " * 3000
+    x = spark.createDataFrame([(text,), ("",), ("none",)], "text string")
+    pattern, needs = personal_data.BASE["email"]
+    rows = [r.s for r in x.select(personal_data.found(F.col("text"), pattern, needs).alias("s")).collect()]
+    assert [(s.start, s.end) for s in rows[0]] == [(m.start(), m.end()) for m in re.finditer("a1@b.co", text)] and not rows[1] and not rows[2]
