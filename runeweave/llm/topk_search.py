@@ -29,7 +29,7 @@ from .vectors import BLOCK, by_length, clean, largest, query_blocks, stacked
 #: Sums up to this are exact in double precision.
 EXACT = float(1 << 53)
 #: Bytes of the local scores that a task holds at once.
-TILE = 16 << 20
+TILE = 64 << 20
 
 
 def _lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
@@ -81,19 +81,21 @@ def _search(whole: DataFrame, block: list, k: int, lists: int) -> DataFrame:
                         yield qid, ids[i : i + tile], _lists(q, x[i : i + tile], lists)
 
     def first(batches):
-        """Phase 1: each list's k best entries of the chunk, as whole-score bounds, and the lists' least values."""
+        """Phase 1: each list's k best entries, as whole-score bounds, and the lists' least values: of each query those of all the task's candidates."""
+        least: dict[int, np.ndarray] = {}
+        bounds: dict[int, np.ndarray] = {}
         for qid, ids, local in chunks(batches):
-            rows = []
-            for i, query in enumerate(qid):
+            for i, query in enumerate(qid.tolist()):
                 own = ids != query
                 if not own.any():
                     continue
                 of, s = ids[own], np.array([x[i][own] for x in local])
                 seen = np.unique(np.concatenate([largest(x, of, k) for x in s]))
-                low = s.min(axis=1)
-                for j in seen:
-                    rows.append((int(query), [float(x) for x in low], float(s[:, j].sum())))
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "low": b, "bound": c} for a, b, c in rows], schema=one)
+                low, whole_ = s.min(axis=1).astype(np.float64), s[:, seen].sum(axis=0).astype(np.float64)
+                least[query] = np.minimum(least[query], low) if query in least else low
+                bounds[query] = np.sort(np.concatenate([bounds.get(query, whole_[:0]), whole_]))[-k:]
+        for query, low in least.items():
+            yield pa.RecordBatch.from_pylist([{"query_id": query, "low": low.tolist(), "bound": x} for x in bounds[query].tolist()], schema=one)
 
     one = pa.schema([("query_id", pa.int64()), ("low", pa.list_(pa.float64())), ("bound", pa.float64())])
     bounds = cut(whole.mapInArrow(first, "query_id long, low array<double>, bound double"))
@@ -103,9 +105,9 @@ def _search(whole: DataFrame, block: list, k: int, lists: int) -> DataFrame:
     cutoffs = spark.sparkContext.broadcast(safe)
 
     def second(batches):
-        """Phases 2 and 3: entries at or above the cutoff, bounds, and the exact scores of what may still be among the best."""
+        """Phases 2 and 3: entries at or above the cutoff, bounds, and the exact scores of what may still be among the best, of each query the task's k best."""
+        kept: dict[int, list[tuple[int, int]]] = {}
         for qid, ids, local in chunks(batches):
-            rows = []
             for i, query in enumerate(qid):
                 if int(query) not in cutoffs.value:
                     continue
@@ -124,9 +126,10 @@ def _search(whole: DataFrame, block: list, k: int, lists: int) -> DataFrame:
                     upper = known + share * (~entry[:, seen]).sum(axis=0)
                     alive = seen[upper >= better]
                 score = s[:, alive].sum(axis=0)
-                for j in largest(score, ids[own[alive]], k):
-                    rows.append((int(query), int(ids[own[alive[j]]]), _long(score[j])))
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "vec_id": b, "score": c} for a, b, c in rows], schema=two)
+                found = [(-_long(score[j]), int(ids[own[alive[j]]])) for j in largest(score, ids[own[alive]], k)]
+                kept[int(query)] = sorted(kept.get(int(query), []) + found)[:k]
+        for query, best_ in kept.items():
+            yield pa.RecordBatch.from_pylist([{"query_id": query, "vec_id": i, "score": -x} for x, i in best_], schema=two)
 
     two = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
