@@ -75,8 +75,8 @@ def with_side(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "i
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of an Arrow text column, and where each row begins and the last one ends. Null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """The UTF-8 bytes of an Arrow column of texts, or the bytes of a binary one, and where each row begins and the last one ends. Null counts as empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"") if pa.types.is_binary(column.type) else column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)

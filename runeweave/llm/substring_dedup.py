@@ -15,8 +15,10 @@ that share an anchor occurrence.
    least so many bytes.
 4. Contexts that occur more than once, and windows found in 3, give the bytes to remove.
 
-Contexts of anchors with more than `hot` distinct contexts do not fit one transform; their windows
-are counted by hash instead, spread over all tasks.
+Contexts of an anchor with more than `hot` distinct ones do not go to one transform.  They are scanned
+again as if they were documents, with other hashes: windows that share a frequent gram have other
+grams too, so most get anchors that few share.  What is hot after LEVELS such scans, windows that
+are alike in nearly all grams, is counted by the hash of the whole window, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_buffers, with_side
-from .textstats import prefix, ranges
+from .textstats import BASE, mix, prefix, ranges
 
 #: Bytes of an anchor's gram: a longer one brings fewer contexts together that share no window.
 GRAM = 96
 #: Bytes of contexts in one transform.
 BATCH = 2 << 20
+#: Distinct contexts of an anchor that go to one transform: about as many bytes.
+HOT = 2048
+#: Scans with hashes of their own.
+LEVELS = 4
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,8 +55,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, place, windows, anchor hash, content hash) of the contexts of the rows in data."""
+def contexts(data: np.ndarray, at: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray, ...]:
+    """(row, place, windows, anchor hash, content hash) of the contexts of the rows in data; each level has anchors of its own."""
     gram = min(GRAM, length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -58,6 +64,8 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     h = prefix(data)
     start = np.arange(len(data) - gram + 1)
     grams = ranges(h, start, start + gram)
+    if level:
+        grams = mix(grams ^ (BASE * np.uint64(level)))
     least = sliding_least((grams & np.uint64(0xFFFFFFFF00000000)) | start.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.searchsorted(at, np.arange(len(anchor)), "right") - 1
@@ -141,12 +149,12 @@ def runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
 
 
-def _scan(docs: DataFrame, length: int) -> DataFrame:
+def _scan(docs: DataFrame, length: int, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             data, at = text_buffers(b.column("text"))
             for i, j in slices(at):
-                row, place, n, anchor, content = contexts(data[at[i] : at[j]], at[i : j + 1] - at[i], length)
+                row, place, n, anchor, content = contexts(data[at[i] : at[j]], at[i : j + 1] - at[i], length, level)
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i).take(pa.array(row)), pa.array(place), pa.array(n), pa.array(anchor), pa.array(content)], names=["key", "place", "n", "anchor", "content"])
 
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, place long, n long, anchor long, content long")
@@ -158,7 +166,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for text, want in zip(b.column("text"), b.column("want")):
-                raw, out = text.as_py().encode("utf-8", "surrogatepass"), want.as_py()
+                raw, out = text.as_py(), want.as_py()
+                raw = raw if isinstance(raw, bytes) else raw.encode("utf-8", "surrogatepass")
                 for w in out:
                     w["segment"] = raw[w["place"] : w["place"] + w["n"] - 1 + length]
                     del w["place"]
@@ -192,7 +201,7 @@ def _expanded(found: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(found: DataFrame, length: int) -> DataFrame:
-    """The same for hot anchors: windows counted by hash."""
+    """The same for what is hot at every level: windows counted by hash."""
 
     def explode(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -207,9 +216,9 @@ def _counted(found: DataFrame, length: int) -> DataFrame:
     return windows.join(often, "window").groupBy("anchor", "content").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("i"), F.col("i") + 1)))).alias("runs"))
 
 
-def spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
-    """(key, spans array<struct<start, end>>): bytes to remove, merged, for the rows of docs (key, text) that have some. key may not be null."""
-    x = cut(_scan(docs, length))
+def _hits(docs: DataFrame, length: int, hot: int, level: int = 0) -> DataFrame:
+    """(key, place, runs): the contexts of docs (key, text) with windows that start elsewhere too, and the runs of these windows. key may not be null."""
+    x = cut(_scan(docs, length, level))
     distinct = x.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("key", "place", "n")).alias("rep"))
     anchors = x.groupBy("anchor").agg(F.count("*").alias("all"))
     often = cut(distinct.join(anchors.where("all > 1").select("anchor"), "anchor"))
@@ -218,13 +227,25 @@ def spans(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataFrame:
     found = cut(_fetch(docs, cut(wanted.groupBy("key").agg(F.collect_list("w").alias("want"))), length))
     some = _expanded(found.where("not hot"), length)
     if found.where("hot").head(1):
-        some = some.unionByName(_counted(found.where("hot"), length))
+        some = some.unionByName(_again(found.where("hot"), length, hot, level + 1) if level + 1 < LEVELS else _counted(found.where("hot"), length))
     full = often.where("times > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("runs"))
     part = some.where(F.size("runs") > 0).join(full.select("anchor", "content"), ["anchor", "content"], "left_anti")
     marks = cut(full.unionByName(part))
-    hits = x.join(marks, ["anchor", "content"]).select("key", "place", F.coalesce("runs", F.array(F.lit(0), F.col("n").cast("int"))).alias("runs"))
+    return x.join(marks, ["anchor", "content"]).select("key", "place", F.coalesce("runs", F.array(F.lit(0), F.col("n").cast("int"))).alias("runs"))
+
+
+def _again(found: DataFrame, length: int, hot: int, level: int) -> DataFrame:
+    """(anchor, content, runs) of hot contexts: each is a document of the next level."""
+    inner = _hits(found.select(F.struct("anchor", "content").alias("key"), F.col("segment").alias("text")), length, hot, level)
+    shifted = F.transform("runs", lambda r: r + F.col("place").cast("int"))
+    runs_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", shifted.alias("r")))), lambda s: s["r"]))
+    return inner.groupBy("key").agg(runs_.alias("runs")).select("key.anchor", "key.content", "runs")
+
+
+def spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+    """(key, spans array<struct<start, end>>): bytes to remove, merged, for the rows of docs (key, text) that have some. key may not be null."""
     pieces = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("runs"), 1) - 1), lambda i: F.struct((F.col("place") + F.get("runs", i * 2)).alias("start"), (F.col("place") + F.get("runs", i * 2 + 1) - 1 + length).alias("end")))
-    return hits.select("key", pieces.alias("s")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")).select("key", _merged("spans").alias("spans"))
+    return _hits(docs, length, hot).select("key", pieces.alias("s")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")).select("key", _merged("spans").alias("spans"))
 
 
 def _merged(spans: str) -> Column:
@@ -246,7 +267,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
 
 
-def cleaned(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of each row of docs.
 
     Each byte covered by a string of `length` bytes that also starts anywhere else, in the same row

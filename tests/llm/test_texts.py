@@ -144,6 +144,19 @@ def test_repeated_substrings(spark, length, hot):
     assert [got[i] for i in range(len(texts))] == removed(texts, length)
 
 
+def test_repeated_substrings_at_the_contracts_length(spark):
+    """Copies around one frequent gram, near and far, at 400 bytes, a long text and repeated rows among them."""
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefgh ijklmnop é") for _ in range(n))
+    passage, common = noise(600), noise(120)
+    texts = [noise(300) + common + noise(300) for _ in range(40)] + [noise(50) + passage[k:] + noise(80) for k in (0, 0, 90, 260)] + [noise(60_000), None, "", passage, passage, noise(399)]
+    want = removed(texts, 400)
+    for hot in (2048, 4):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.digest(docs(spark, texts).withColumn("spans", F.lit(1)).withColumn("key", F.lit(2)), hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert substring_dedup.digest(docs(spark, texts).where("false")).count() == 0
+
+
 def test_interval_expansion_gives_the_short_prefixes():
     r = np.random.default_rng(0)
     text = r.integers(1, 4, 400).astype(np.uint16)
