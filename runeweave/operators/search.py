@@ -43,7 +43,7 @@ def loose_completion(names: DataFrame, typed: str, most: int = MOST) -> DataFram
 
 def block_completion(operands: DataFrame, block: str, typed: str, most: int = MOST) -> DataFrame:
     """(operand, text) of a block that begin with the typed text, shortest first."""
-    return operands.where((F.col("block") == block) & F.lower("operand").startswith(typed.lower())).select("operand", "text").orderBy(F.length("operand"), "operand").limit(most)
+    return operands.where((F.col("block") == block) & F.lower("operand").startswith(typed.lower())).select("operand", "text").orderBy(F.length("operand"), "operand", "text").limit(most)
 
 
 def across_blocks(operands: DataFrame, typed: str) -> DataFrame:

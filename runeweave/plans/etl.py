@@ -104,6 +104,12 @@ def blocks_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return order, found.select("block", "key", F.col("value").alias("text"), (F.col("first.place") * F.lit(1 << 50) + F.col("first.n")).alias("n"))
 
 
+def missing_targets(entries: DataFrame) -> DataFrame:
+    """(alias, target): the blocks that aliases name and that there are not."""
+    targets = entries.where("section = 'block-aliases' and table is null").select(F.col("key").alias("alias"), F.explode(F.split("value", " +")).alias("target")).where("target <> ''").distinct()
+    return targets.join(entries.where("section = 'blocks' and table is not null").select(F.col("table").alias("target")).distinct(), "target", "left_anti").select("alias", "target")
+
+
 def compiled(entries: DataFrame) -> dict[str, DataFrame]:
     """The tables of a dictionary.  Of the texts of a name the first in the order of SECTIONS wins, then short names, then names in lower case."""
     entries = _once(least(entries, ["section", "table", "key"], ["n"], ["value"]).select("section", "table", "key", "value", F.col("first.n").alias("n")))

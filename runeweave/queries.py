@@ -566,11 +566,11 @@ def common_chunk(spark, sf_dir):
     return packing.within_budget(n, F.octet_length("name"), 2000, "length", "name").select("name")
 
 
-@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 25)")
+@query("SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_name || ' ' || p_brand NOT IN (SELECT p_name || ' ' || p_brand FROM part WHERE p_size <= 25)")
 def names_outside(spark, sf_dir):
     """Names of which no entry is in the common chunk."""
-    p = read(spark, sf_dir, "part")
-    return p.select(F.col("p_name").alias("name")).distinct().join(p.where("p_size <= 25").select(F.col("p_name").alias("name")), "name", "left_anti")
+    p = read(spark, sf_dir, "part").withColumn("name", F.concat_ws(" ", "p_name", "p_brand"))
+    return p.select("name").distinct().join(p.where("p_size <= 25").select("name"), "name", "left_anti")
 
 
 @query("""
@@ -727,3 +727,184 @@ def overlay_names(spark, sf_dir):
     base = spark.createDataFrame([("own", None, "alpha", "α", 0), ("own", None, "land-1", "x", 1)], etl.ENTRIES)
     e = Engine(spark, compile_entries(etl.layered(own.unionByName(alpha), base)))
     return n.select("n_nationkey", e.to_unicode(F.concat(F.lit("<:"), name, F.lit("/> <:alpha/>"))).alias("text"))
+
+
+# Reverse spelling, meta and warnings over tables
+
+
+@query("""
+WITH c AS (SELECT event_id, (event_id * 7919) % 1114112 AS cp FROM events)
+SELECT event_id, CASE WHEN cp BETWEEN 77824 AND 81919 THEN 'egyptian' WHEN cp BETWEEN 11904 AND 12287 OR cp BETWEEN 12288 AND 40959 OR cp BETWEEN 131072 AND 212991 THEN 'cjk' ELSE '' END AS script FROM c""")
+def code_point_scripts(spark, sf_dir):
+    """Scripts whose characters have controls of their own."""
+    return read(spark, sf_dir, "events").select("event_id", T.script_of(char((F.col("event_id") * 7919 % 1114112).cast("long"))).alias("script"))
+
+
+RED = SIGIL_ATTACH + "color red"
+
+
+@query("""
+SELECT p_partkey, p_name || m AS text, 'color' AS key, 'red' AS value, CAST(strlen(p_name) - 1 AS INTEGER) AS "start", CAST(strlen(p_name || m) AS INTEGER) AS "end"
+FROM (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN chr(769) WHEN 2 THEN chr(65039) ELSE chr(776) || chr(8205) || chr(9792) END AS m FROM part)""")
+def attached_clusters(spark, sf_dir):
+    """Meta attached to the last character with what extends it: accents, variation selectors, joined characters."""
+    marks = F.element_at(F.array(F.lit(""), F.lit("́"), F.lit("️"), F.lit("̈‍♀")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    x = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", marks, F.lit(tags(RED))).alias("tagged"))
+    return Engine(spark).runs(x, "tagged", "p_partkey").drop("at")
+
+
+@query("""
+SELECT p_partkey, '<:size 2em>' || p_name || '<:/size>' || left(p_name, length(p_name) - 1) || '<:color red ' || right(p_name, 1) || '/>' AS markup FROM part""")
+def spelled_meta(spark, sf_dir):
+    """Meta around a text and on a character, back as markup."""
+    around = F.concat(F.lit(tags(SIGIL_OPEN + "size 2em")), "p_name", F.lit(tags(SIGIL_CLOSE + "size")))
+    return read(spark, sf_dir, "part").select("p_partkey", Engine(spark).to_markup(F.concat(around, "p_name", F.lit(tags(RED)))).alias("markup"))
+
+
+@query("""
+SELECT p_partkey, unnest(['color', 'size']) AS key, unnest(['red', '2em']) AS value, p_name AS text, CAST(0 AS INTEGER) AS "start", CAST(strlen(p_name) AS INTEGER) AS "end" FROM part""")
+def several_meta_keys(spark, sf_dir):
+    """An opener of two keys."""
+    e = Engine(spark)
+    x = read(spark, sf_dir, "part").select("p_partkey", e.to_unicode(F.concat(F.lit("<:color red size 2em>"), "p_name", F.lit("<:/size><:/color>"))).alias("tagged"))
+    return e.runs(x, "tagged", "p_partkey").drop("at")
+
+
+@query("SELECT p_partkey, '<:mirror red ' || chr(CAST(65 + p_partkey % 26 AS INTEGER)) || '/>' || p_name AS markup, true AS reads_back FROM part")
+def unstacked_suffixes(spark, sf_dir):
+    """Controls after a letter, the last one first."""
+    e = Engine(spark)
+    text = F.concat(F.char(F.lit(65) + F.col("p_partkey") % 26), F.lit("\U000E0072\U000E004D"), "p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", e.to_markup(text).alias("markup"), (e.to_unicode(e.to_markup(text)) == text).alias("reads_back"))
+
+
+@query(r"""
+SELECT n_nationkey, '\:waving-black-flag' || array_to_string(list_transform(string_split(lower(n_name[1:2]) || 'eng', ''), lambda c: chr(917504 + unicode(c))), '') || chr(917631) || n_name AS markup FROM nation""")
+def emoji_tag_sequences(spark, sf_dir):
+    """Tags that belong to an emoji stay characters."""
+    text = F.concat(F.lit("🏴"), T.tag_encode(F.concat(F.lower(F.substring("n_name", 1, 2)), F.lit("eng"))), "n_name")
+    return read(spark, sf_dir, "nation").select("n_nationkey", Engine(spark).to_markup(text).alias("markup"))
+
+
+#: People, skin tones and what is joined to them.
+PEOPLE = (("👩", "👨", "🧑"), ("", "🏻", "🏼", "🏽", "🏾", "🏿"), ("", "‍🦰", "‍🔬", "‍❤️‍👨", "‍👧‍👦"))
+
+
+@query(f"SELECT event_id, {' || '.join(f'list_value({", ".join(map(quoted, p))})[CAST((event_id // {d}) % {len(p)} + 1 AS INTEGER)]' for p, d in zip(PEOPLE, (1, 3, 18)))} || event_type AS text, true AS is_ascii FROM events")
+def joined_emoji(spark, sf_dir):
+    """Joined emoji through markup in ASCII and back."""
+    e = Engine(spark)
+    pick = lambda p, d: F.element_at(F.array(*map(F.lit, p)), (F.floor(F.col("event_id") / d) % len(p) + 1).cast("int"))
+    markup = e.to_ascii_markup(F.concat(*[pick(p, d) for p, d in zip(PEOPLE, (1, 3, 18))], "event_type"))
+    x = read(spark, sf_dir, "events").select("event_id", markup.alias("m"))
+    return x.select("event_id", e.to_unicode(F.col("m")).alias("text"), (~F.col("m").rlike(r"[^\x00-\x7F]")).alias("is_ascii"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'left does not apply to ' || c ELSE 'red on ' || c || ' kept as color meta' END AS message, CAST(strlen(p_name) AS INTEGER) AS at
+FROM (SELECT *, chr(CAST(77824 + p_partkey % 1000 AS INTEGER)) AS c FROM part)""")
+def effect_warnings(spark, sf_dir):
+    """What an effect that a character has no control for warns of, by place."""
+    effect = F.when(F.col("p_partkey") % 2 == 0, "left").otherwise("red")
+    x = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("<:"), effect, F.lit(" "), char((F.col("p_partkey") % 1000 + 77824).cast("long")), F.lit("/>")).alias("markup"))
+    return Engine(spark).warnings(x, "markup", "p_partkey")
+
+
+@query("SELECT p_partkey, left(p_name, 1) || upper(left(p_name, 1)) AS text FROM part")
+def spaced_names(spark, sf_dir):
+    """Names of several words, with spaces and in capitals."""
+    letter = F.upper(F.substring("p_name", 1, 1))
+    markup = F.concat(F.lit("<:LATIN SMALL LETTER "), letter, F.lit("/><:latin capital letter "), F.lower(letter), F.lit("/>"))
+    return read(spark, sf_dir, "part").select("p_partkey", Engine(spark).to_unicode(markup).alias("text"))
+
+
+# Dictionary ETL over tables
+
+
+@query("""
+WITH n AS (SELECT DISTINCT CASE WHEN p_brand = 'Brand#11' THEN 'latin' ELSE 's' || regexp_extract(p_brand, '[0-9]+') END AS script, CASE WHEN p_size % 2 = 0 THEN 'capital' ELSE 'small' END AS case_, replace(p_name, ' ', '-') AS rest FROM part),
+l AS (SELECT script || '-' || case_ || '-letter-' || rest AS name, script, CASE case_ WHEN 'capital' THEN upper(rest[1]) || rest[2:] ELSE rest END AS letter FROM n),
+w AS (SELECT *, count(*) OVER (PARTITION BY letter) AS holders, count(*) FILTER (script = 'latin') OVER (PARTITION BY letter) AS latins, count(*) OVER (PARTITION BY script, letter) AS twice FROM l),
+t AS (SELECT DISTINCT replace(p_name, ' ', '-') AS word FROM part WHERE p_size = 9)
+SELECT name, CASE WHEN bare THEN letter ELSE script || '-' || letter END AS short
+FROM (SELECT *, letter NOT IN (FROM t) AND (holders = 1 OR script = 'latin' AND latins = 1) AS bare FROM w) WHERE bare OR script <> 'latin' AND twice = 1""")
+def cased_letter_names(spark, sf_dir):
+    """Short names of cased letters: the letter alone where no other script has it, else with the script."""
+    p = read(spark, sf_dir, "part")
+    rest = F.replace("p_name", F.lit(" "), F.lit("-"))
+    script = F.when(F.col("p_brand") == "Brand#11", "latin").otherwise(F.concat(F.lit("s"), F.regexp_extract("p_brand", "[0-9]+", 0)))
+    name = F.concat(script, F.lit("-"), F.when(F.col("p_size") % 2 == 0, "capital").otherwise("small"), F.lit("-letter-"), rest)
+    return etl.short_names(p.select(name.alias("name")).distinct(), p.where("p_size = 9").select(rest.alias("word")))
+
+
+@query("""
+WITH p AS (SELECT p_partkey % 65534 AS k, arg_min(p_name, p_partkey) AS name, arg_min(p_size, p_partkey) AS size FROM part GROUP BY ALL)
+SELECT chr(CAST(983040 + k AS INTEGER)) AS text, CASE size % 5 WHEN 0 THEN 'own-' || k WHEN 1 THEN 'n' || k WHEN 3 THEN 'b11 o' || k ELSE 'mark-' || split_part(name, ' ', 1) || '-n' || k END AS form FROM p""")
+def spelled_forms(spark, sf_dir):
+    """The preferred spelling of signs: own names, HTML names that end the Unicode name, operands, Unicode names without a filler word. The parts share a plane of signs; the first part of each gives its name."""
+    p = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 65534).alias("k")).agg(F.min_by("p_name", "p_partkey").alias("name"), F.min_by("p_size", "p_partkey").alias("size"))
+    key = F.col("k").cast("string")
+    sign, kind = char((F.col("k") + 0xF0000).cast("long")), F.col("size") % 5
+    none = F.lit(None).cast("string")
+    entry = lambda where, section, table, k: p.where(where).select(F.lit(section).alias("section"), table.alias("table"), k.alias("key"), sign.alias("value"), F.col("k").cast("long").alias("n"))
+    names = entry(F.lit(True), "names", none, F.concat(F.lit("mark-character-"), F.substring_index("name", " ", 1), F.lit("-n"), key))
+    own, last, other = entry(kind == 0, "own", none, F.concat(F.lit("own-"), key)), entry(kind == 1, "html", none, F.concat(F.lit("n"), key)), entry(kind == 2, "html", none, F.concat(F.lit("h"), key))
+    operands = entry(kind == 3, "blocks", F.lit("b11"), F.concat(F.lit("o"), key))
+    return etl.compiled(names.unionByName(own).unionByName(last).unionByName(other).unionByName(operands))["chars"]
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_type, 'b' || regexp_extract(p_brand, '[0-9]+') AS block FROM part)
+SELECT 'suffix' AS "table", 'c' || k % 50 AS key, arg_min(block, k) AS value FROM p GROUP BY k % 50
+UNION ALL SELECT 'meta', 'k' || k % 40, arg_min(p_type, k) FROM p GROUP BY k % 40
+UNION ALL SELECT 'font', block || ' f' || k % 7, arg_min(p_type, k) FROM p GROUP BY block, k % 7""")
+def control_tables(spark, sf_dir):
+    """Control characters by block, meta templates and font fields, the first of each."""
+    p = read(spark, sf_dir, "part").withColumn("block", F.concat(F.lit("b"), F.regexp_extract("p_brand", "[0-9]+", 0)))
+    numbered = lambda prefix, most: F.concat(F.lit(prefix), (F.col("p_partkey") % most).cast("string"))
+    none = F.lit(None).cast("string")
+    entry = lambda section, table, key, value: p.select(F.lit(section).alias("section"), table.alias("table"), key.alias("key"), value.alias("value"), F.col("p_partkey").cast("long").alias("n"))
+    x = entry("blocks", F.col("block"), F.concat(F.lit("*suffix "), F.col("p_partkey").cast("string")), numbered("c", 50))
+    t = etl.compiled(x.unionByName(entry("meta", none, numbered("k", 40), F.col("p_type"))).unionByName(entry("fonts", F.col("block"), numbered("f", 7), F.col("p_type"))))
+    rows = lambda name, key, value: t[name].select(F.lit(name.rstrip("s") if name != "suffixes" else "suffix").alias("table"), key.alias("key"), F.col(value).alias("value"))
+    return rows("suffixes", F.col("control"), "block").unionByName(rows("meta", F.col("key"), "template")).unionByName(rows("fonts", F.concat_ws(" ", "name", "key"), "value"))
+
+
+@query("""
+WITH a AS (SELECT 'alias' || p_partkey AS alias, unnest(['b' || p_size, 'b' || (p_partkey % 90)]) AS target FROM part)
+SELECT DISTINCT alias, target FROM a WHERE target NOT IN (SELECT 'b' || p_size FROM part)""")
+def missing_alias_targets(spark, sf_dir):
+    """Targets of aliases that are no blocks."""
+    p = read(spark, sf_dir, "part")
+    size, n = F.concat(F.lit("b"), F.col("p_size").cast("string")), F.col("p_partkey").cast("long")
+    blocks = p.select(F.lit("blocks").alias("section"), size.alias("table"), F.concat(F.lit("o"), n.cast("string")).alias("key"), F.lit("x").alias("value"), n.alias("n"))
+    target = F.concat_ws(" ", size, F.concat(F.lit("b"), (n % 90).cast("string")))
+    return etl.missing_targets(blocks.unionByName(p.select(F.lit("block-aliases").alias("section"), F.lit(None).cast("string").alias("table"), F.concat(F.lit("alias"), n.cast("string")).alias("key"), target.alias("value"), n.alias("n"))))
+
+
+# Search over operands
+
+
+@query(f"WITH {OPERANDS} SELECT operand, text FROM a WHERE block = 'Brand#11' AND lower(operand) LIKE 'b%' ORDER BY length(operand), operand, text LIMIT 1000")
+def operand_completion(spark, sf_dir):
+    return search.block_completion(_operands(spark, sf_dir), "Brand#11", "b")
+
+
+@query(f"""
+WITH {OPERANDS}, w AS (SELECT DISTINCT operand FROM a WHERE lower(operand) = (SELECT min(operand) FROM o)),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY block, operand) AS r FROM a WHERE operand IN (FROM w))
+SELECT block, operand, text FROM r WHERE r = 1""")
+def operand_owners(spark, sf_dir):
+    """The blocks of an operand, one for each text."""
+    o = _operands(spark, sf_dir)
+    return search.across_blocks(o, o.agg(F.min(F.lower("operand"))).first()[0] or "")
+
+
+@query(f"""
+WITH {OPERANDS}, f AS (SELECT p_type AS text, count(*) AS uses FROM part GROUP BY p_type),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY block, operand) AS r FROM a WHERE lower(operand) = (SELECT min(operand) FROM o))
+SELECT operand, text, CASE WHEN uses > 3 THEN uses ELSE 0 END AS uses FROM r LEFT JOIN f USING (text) WHERE r = 1""")
+def homophones_by_use(spark, sf_dir):
+    o = _operands(spark, sf_dir)
+    uses = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("text")).agg(F.count("*").alias("uses")).where("uses > 3")
+    return search.homophones(o, o.agg(F.min(F.lower("operand"))).first()[0] or "", uses)
