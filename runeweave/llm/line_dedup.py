@@ -120,6 +120,25 @@ def _shingles(units: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     return out, ends
 
 
+def line_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted; an empty text has none."""
+    out = []
+    data, at = text_buffers(texts)
+    for i, j in slices(at, SLICE):
+        units, starts = _units(data, at[i:j], at[i + 1 : j + 1])
+        h, ends = _shingles(units, starts, size)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            h[a:b].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[ends[:-1]] = True
+        new[ends[:-1][np.diff(starts) == 0]] = False
+        upto = np.concatenate([[0], np.cumsum(new)])[ends].tolist()
+        h = h[new]
+        out += [h[a:b] for a, b in zip(upto[:-1], upto[1:])]
+    return out
+
+
 def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int = 100, length: int = 60, each: int = 5) -> DataFrame:
     """(id, h, gone array<int>): the line numbers to remove from each document that loses some. docs: (id, h, text), h a hash of the text."""
     both = cut(signed(docs, size, length, each, PARTS * max(8, docs.rdd.getNumPartitions())))
@@ -130,7 +149,7 @@ def doomed(docs: DataFrame, size: int = 8, numerator: int = 80, denominator: int
     some = cut(reps.join(mates, "node", "left").where("mate or n > 1"))
     wanted = some.where("mate").groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("rep.line", "node")).alias("want"))
     texts = cut(_texts(docs, cut(wanted)))
-    roots = Links(lambda t: char_shingles(t, size), numerator, denominator).components(shared, texts)
+    roots = Links(lambda t: char_shingles(t, size), numerator, denominator, lambda t: line_sets(t, size)).components(shared, texts)
     rooted = some.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.sum("n").alias("all")).where("all > 1")
     stays = cut(rooted.join(first, "root").select("node", "first"))

@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,12 @@ BLOCK = 1024
 #: Sizes of sketches in 64-bit words: the least that has eight bits for each element, up to the last.
 WORDS = (8, 16, 32, 64, 128, 256, 512)
 
+#: Bytes of texts whose sets a comparison holds at once.
+TEXTS = 4 << 20
+
 Sets = Callable[[str], np.ndarray]
+#: The sets of a column of texts.
+Many = Callable[[pa.Array], list[np.ndarray]]
 
 
 def mates(items: DataFrame) -> DataFrame:
@@ -133,8 +139,9 @@ def unpacked_mates(dealt: DataFrame) -> DataFrame:
 class Links:
     """Finds components of texts whose sets have denominator * |intersection| >= numerator * |union|."""
 
-    def __init__(self, sets: Sets, numerator: int, denominator: int):
-        self.sets, self.numerator, self.denominator = sets, numerator, denominator
+    def __init__(self, sets: Sets, numerator: int, denominator: int, many: Many | None = None):
+        self.numerator, self.denominator = numerator, denominator
+        self.many = many or (lambda texts: [sets(t) for t in texts.to_pylist()])
 
     def enough(self, both: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return self.denominator * both >= self.numerator * (x + y - both)
@@ -144,23 +151,31 @@ class Links:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
-        def run(batches: Iterator[pa.RecordBatch]):
-            cache: dict[int, np.ndarray] = {}
-
-            def of(node: int, text: pa.Scalar) -> np.ndarray:
-                if node not in cache:
-                    if len(cache) > 500:
-                        cache.clear()
-                    cache[node] = self.sets(text.as_py())
-                return cache[node]
+        def similar(x: np.ndarray, y: np.ndarray) -> bool:
+            if not (len(x) and len(y) and self.enough(min(len(x), len(y)), len(x), len(y))):
+                return False
+            whole = np.concatenate([x, y])
+            whole.sort(kind="stable")
+            return self.enough(np.count_nonzero(whole[1:] == whole[:-1]), len(x), len(y))
 
+        def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                keep = []
-                for i, j, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
-                    x, y = of(i, x), of(j, y)
-                    if len(x) and len(y) and self.enough(min(len(x), len(y)), len(x), len(y)) and self.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                        keep.append((i, j))
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                ends = [batch.column("a").to_pylist(), batch.column("b").to_pylist()]
+                size = [pc.binary_length(batch.column(c)).to_pylist() for c in ("ta", "tb")]
+                keep, first = [], 0
+                while first < len(ends[0]):  # as many pairs as have so many bytes of different texts
+                    places: list[dict[int, int]] = [{}, {}]
+                    last, total = first, 0
+                    while last < len(ends[0]) and (total < TEXTS or last == first):
+                        for nodes, n, own in zip(ends, size, places):
+                            if nodes[last] not in own:
+                                own[nodes[last]] = last
+                                total += n[last]
+                        last += 1
+                    x, y = (dict(zip(own, self.many(batch.column(c).take(pa.array(own.values(), pa.int64()))))) for own, c in zip(places, ("ta", "tb")))
+                    keep += [(i, j) for i, j in zip(ends[0][first:last], ends[1][first:last]) if similar(x[i], y[j])]
+                    first = last
+                yield _pairs(keep)
 
         return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -170,8 +185,7 @@ class Links:
         def run(batches: Iterator[pa.RecordBatch]):
             for b in batches:
                 n, bits = [], []
-                for text in b.column("text"):
-                    h = self.sets(text.as_py())
+                for h in self.many(b.column("text")):
                     words = next((w for w in WORDS if 8 * w >= len(h)), WORDS[-1])
                     n.append(len(h))
                     bits.append(np.packbits(np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) > 0, bitorder="little").tobytes())
