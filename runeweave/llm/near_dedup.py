@@ -47,6 +47,17 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return word_shingles(data, np.array([0, len(data)]), size)[1]
 
 
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """`shingle_set` of each text of a column."""
+    out = []
+    data, at = text_buffers(texts)
+    for i, j in slices(at):
+        row, h = word_shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+        ends = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+        out += [h[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return out
+
+
 def groups(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100, length: int = 100, each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs.
 
@@ -62,7 +73,7 @@ def groups(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int
     shared = mates(used)
     wanted = cut(shared.select("node").distinct().join(used.groupBy("node").agg(F.min("id").alias("rep")), "node"))
     texts = cut(_texts(docs, wanted, size, id_col, text_col))
-    roots = Links(lambda t: shingle_set(t, size), numerator, denominator).components(shared, texts)
+    roots = Links(lambda t: shingle_set(t, size), numerator, denominator, lambda t: shingle_sets(t, size)).components(shared, texts)
     rooted = used.select("id", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = rooted.groupBy("node").agg(F.first("root").alias("root")).join(least, "root").select("node", "component_id")
