@@ -5,18 +5,19 @@ generators propose further, overlapping spans: numbers in groups, spelled-out or
 account numbers.  Boosted trees score each proposal by its format and by the words before it; a
 threshold for each generator, calibrated on held-out examples to `precision`, selects what is added.
 
-No spans are labelled, so the examples are made: in a bounded sample of the documents, base spans are
-rewritten in ways that the base rules do not read and stand in their own contexts as personal,
-numbers that the base rules reject as not personal; further ones are composed from formats and contexts.  The
-trees are fitted by the JVM's gradient boosting and unrolled into one SQL expression: a document's
-spans are found, scored and selected within its own row, with no join, no shuffle and no Python on
-the executors.
+No spans are labelled, so the examples are made: in all documents, base spans are rewritten in ways
+that the base rules do not read and stand in their own contexts as personal, numbers that the base
+rules reject as not personal; further ones are composed from formats and contexts.  Equal examples
+are summed up, and the trees are fitted by the JVM's gradient boosting and unrolled into one SQL
+expression: a document's spans are found, scored and selected within its own row, with no join, no
+shuffle and no Python on the executors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,23 +218,24 @@ REWRITTEN = [
 ]
 
 
-def learned_from(docs: DataFrame, rows: int, text_col: str = "text") -> DataFrame:
-    """(kind, value, before, label, fold) from at most `rows` documents, by a hash of the text: rewritten base spans in their contexts, and numbers as long as a card's that the base rules reject.
+def learned_from(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, value, before, label, fold) from all documents: rewritten base spans in their contexts, and numbers as long as a card's that the base rules reject.
 
-    Other proposals of the documents are not used: nothing tells which of them are personal.
+    Copies of a text count once.  Other proposals of the documents are not used: nothing tells which
+    of them are personal.
     """
-    text = whole_text(text_col)
-    hashed = docs.select(text.alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
-    last = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    sample = cut(hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text", F.pmod("h", F.lit(4)).cast("int").alias("fold")))
-    base = base_spans(F.col("text"))
-    x = sample.withColumn("base", base)
-    written = [F.when(F.col("b.kind") == KINDS.index(kind), reduce(lambda v, step: F.regexp_replace(v, *step), steps, F.col("b.value"))) for kind, steps in REWRITTEN]
-    yes = x.select("text", "fold", F.explode("base").alias("b")).select("fold", before(F.col("text"), F.col("b.start")).alias("context"), F.explode(F.array(*written)).alias("value")).where("value is not null")
-    yes = yes.withColumn("text", F.concat("context", "value", F.lit(" "))).select("fold", "text", F.length("context").alias("from"), F.explode(proposals(F.col("text"))).alias("s")).where("s.start >= from")
-    yes = yes.select(F.lit(1.0).alias("label"), "fold", "s.kind", "s.value", before(F.col("text"), F.col("s.start")).alias("before"))
-    no = x.select("text", "fold", "base", F.explode(proposals(F.col("text"))).alias("s")).where("s.kind = 'number' and length(regexp_replace(s.value, '[^0-9]', '')) >= 12 and not exists(base, b -> b.start < s.start + length(s.value) and s.start < b.end)")
-    no = no.select(F.lit(0.0).alias("label"), "fold", "s.kind", "s.value", before(F.col("text"), F.col("s.start")).alias("before"))
+    text = F.col("text")
+    x = docs.select(whole_text(text_col).alias("text")).withColumn("base", base_spans(text))
+    in_context = lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), before(text, s["start"]).alias("context"))
+    rejected = lambda s: (F.length(digits(s["value"])) >= 12) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    written = F.filter("base", lambda s: s["kind"].isin(sorted({KINDS.index(kind) for kind, _ in REWRITTEN})))
+    x = x.select(F.xxhash64("text").alias("h"), F.transform(written, in_context).alias("yes"), F.transform(kept(text, "number", *PROPOSED["number"][:2], rejected), in_context).alias("no"))
+    x = cut(x.where("size(yes) + size(no) > 0").dropDuplicates(["h"]).withColumn("fold", F.pmod("h", F.lit(4)).cast("int")))
+    forms = [F.when(F.col("b.kind") == KINDS.index(kind), reduce(lambda v, step: F.regexp_replace(v, *step), steps, F.col("b.value"))) for kind, steps in REWRITTEN]
+    yes = x.select("fold", F.explode("yes").alias("b")).select("fold", "b.context", F.explode(F.array(*forms)).alias("value")).where("value is not null")
+    yes = yes.withColumn("text", F.concat("context", "value", F.lit(" "))).select("fold", "text", F.length("context").alias("from"), F.explode(proposals(text)).alias("s")).where("s.start >= from")
+    yes = yes.select(F.lit(1.0).alias("label"), "fold", "s.kind", "s.value", before(text, F.col("s.start")).alias("before"))
+    no = x.select("fold", F.explode("no").alias("s")).select(F.lit(0.0).alias("label"), "fold", F.lit("number").alias("kind"), "s.value", F.col("s.context").alias("before"))
     return yes.unionByName(no)
 
 
@@ -246,8 +248,9 @@ class Model:
 
     def score(self, value: Column, context: Column) -> Column:
         """Probability that a proposal is personal."""
-        x = features(value, context)
+        return self.of(features(value, context))
 
+    def of(self, x: dict[str, Column]) -> Column:
         def walk(node) -> Column:
             if isinstance(node, float):
                 return F.lit(node)
@@ -258,17 +261,38 @@ class Model:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def fit(spark: SparkSession, docs: DataFrame | None = None, rows: int = 6000, sample: int = 2000, trees: int = 12, depth: int = 4, precision: float = 0.99, text_col: str = "text") -> Model:
-    """Boosted trees on `rows` composed examples and those of at most `sample` documents; thresholds from the fold that the trees have not seen."""
+def weighed(spark: SparkSession, docs: DataFrame | None = None, rows: int = 6000, text_col: str = "text") -> DataFrame:
+    """(kind, label, fold, x, weight): every composed example and every one of the documents, equal ones summed up; x holds the features.
+
+    Of a kind and label, the documents' examples weigh 1 each, or together as much as the composed
+    ones: neither the trees nor the thresholds lean further to what documents show as these grow.
+    """
+    x = composed(spark, rows).withColumn("of_docs", F.lit(False))
+    if docs is not None:
+        x = x.unionByName(learned_from(docs, text_col).withColumn("of_docs", F.lit(True)))
+    x = x.where(F.length(digits(F.col("value"))) >= F.coalesce(*[F.when(F.col("kind") == k, n) for k, (_, _, n) in PROPOSED.items()], F.lit(0)))
+    x = x.withColumn("f", F.struct("value", "before")).withColumn("x", F.array(*[features(F.col("f.value"), F.col("f.before"))[k] for k in FEATURES]))
+    x = cut(x.groupBy("kind", "label", "fold", "x", "of_docs").agg(F.count("*").alias("n")))
+    one = lambda docs_: F.sum(F.when(F.col("of_docs") == docs_, F.col("n")))
+    share = x.groupBy("kind", "label").agg(F.coalesce(F.least(F.lit(1.0), one(False) / one(True)), F.lit(1.0)).alias("share"))
+    return x.join(F.broadcast(share), ["kind", "label"]).groupBy("kind", "label", "fold", "x").agg(F.sum(F.when(F.col("of_docs"), F.col("n") * F.col("share")).otherwise(F.col("n"))).alias("weight"))
+
+
+#: Distinct examples of a task when the trees are fitted.
+A_TASK = 100_000
+
+
+def fit(spark: SparkSession, docs: DataFrame | None = None, rows: int = 6000, trees: int = 12, depth: int = 4, precision: float = 0.99, text_col: str = "text") -> Model:
+    """Boosted trees on `rows` composed examples and those of all documents; thresholds from the fold that the trees have not seen."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    x = composed(spark, rows)
-    if docs is not None:
-        x = x.unionByName(learned_from(docs, sample, text_col))
-    x = cut(x.where(F.length(digits(F.col("value"))) >= F.coalesce(*[F.when(F.col("kind") == k, n) for k, (_, _, n) in PROPOSED.items()], F.lit(0))))
-    x = x.select("label", "fold", "kind", "value", "before", array_to_vector(F.array(*[features(F.col("value"), F.col("before"))[k] for k in FEATURES])).alias("features")).coalesce(2).cache()
-    grown = GBTClassifier(maxIter=trees, maxDepth=depth, seed=3, stepSize=0.3).fit(x.where("fold <> 0"))
+    x = cut(weighed(spark, docs, rows, text_col).orderBy("kind", "label", "fold", "x"))
+    n = x.count()
+    x = x.withColumn("features", array_to_vector("x")).coalesce(2 + n // A_TASK).cache()
+    # With so many bins the candidate cuts come from all examples: beyond maxBins squared, MLlib would draw some.
+    bins = max(32, isqrt(n) + 1)
+    grown = GBTClassifier(maxIter=trees, maxDepth=depth, seed=3, stepSize=0.3, weightCol="weight", maxBins=bins).fit(x.where("fold <> 0"))
 
     def read(node):
         if node.getClass().getSimpleName() == "LeafNode":
@@ -276,7 +300,7 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, rows: int = 6000, sa
         return (node.split().featureIndex(), float(node.split().threshold()), read(node.leftChild()), read(node.rightChild()))
 
     model = Model(tuple((float(w), read(t._call_java("rootNode"))) for w, t in zip(grown.treeWeights, grown.trees)), {})
-    held = x.where("fold = 0").select("kind", "label", F.round(model.score(F.col("value"), F.col("before")), 3).alias("score")).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    held = x.where("fold = 0").select("kind", "label", "weight", F.round(model.of({k: F.get("x", F.lit(i)) for i, k in enumerate(FEATURES)}), 3).alias("score")).groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()
     x.unpersist()
     thresholds = {}
     for kind in PROPOSED:

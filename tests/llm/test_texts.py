@@ -370,3 +370,18 @@ def test_places_of_many_matches_are_in_proportion(spark):
     pattern, needs = personal_data.BASE["email"]
     rows = [r.s for r in x.select(personal_data.found(F.col("text"), pattern, needs).alias("s")).collect()]
     assert [(s.start, s.end) for s in rows[0]] == [(m.start(), m.end()) for m in re.finditer("a1@b.co", text)] and not rows[1] and not rows[2]
+
+
+def test_personal_data_is_learned_from_all_documents(spark):
+    shown = [f"{words(4, i)} +1 ({i:03}) 555-{i:04} {words(3, i + 999)} {words(1, i)}.{i}@mail.example.com on {9 * 10**14 + i * 7919} and" for i in range(400)]
+    texts = spark.createDataFrame([(t, "@" in t) for t in [*shown, *(words(6, i) for i in range(5000))]], "text string, shown boolean")
+    x = texts.where("shown = (xxhash64(text) > 0)").cache()  # what can be learned is behind the first 2000 in order of their hashes
+    assert x.where("not shown").count() > 2000
+    assert personal_data.fit(spark, x) != personal_data.fit(spark)
+    learned = personal_data.learned_from(x)
+    n = x.where("shown").count()
+    assert {(r.kind, r.label): r.n for r in learned.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}["address", 1.0] == 3 * n
+    assert personal_data.learned_from(x.union(x)).count() == learned.count()
+    by = {(r.kind, r.label): r.w for r in personal_data.weighed(spark, x.union(x)).groupBy("kind", "label").agg(F.sum("weight").alias("w")).collect()}
+    alone = {(r.kind, r.label): r.w for r in personal_data.weighed(spark).groupBy("kind", "label").agg(F.sum("weight").alias("w")).collect()}
+    assert all(alone[k] <= by[k] <= 2 * alone[k] + 1e-6 for k in alone) and by["address", 1.0] > alone["address", 1.0]
