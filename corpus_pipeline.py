@@ -20,8 +20,10 @@ from runeweave.llm.queries import PIECES
 
 #: Score below which a document is rejected.
 QUALITY = 0.5
-#: Power of the tokens in the mixing targets: a mild rise of rare sources, languages and topics.
-POWER = 0.97
+#: Power of the tokens in the mixing targets, as in op10: rare sources, languages and topics rise.
+POWER = 0.7
+#: Share of the tokens by which the mix may miss its targets, so that a cell of a few documents does not set the rates of all others.
+SPARE = 0.001
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample(docs, power=POWER)
+    return mixing.sample(docs, power=POWER, spare=SPARE)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

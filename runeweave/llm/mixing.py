@@ -87,12 +87,23 @@ def residual(raked: DataFrame) -> float:
     return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max(F.coalesce("off", F.lit(0.0)))).first()[0] or 0.0
 
 
-def probabilities(raked: DataFrame) -> DataFrame:
-    """(source, lang, topic, p): the largest rates with the raked proportions; cells without tokens have rate 1, as they weigh nothing."""
+def probabilities(raked: DataFrame, spare: float = 0.0) -> DataFrame:
+    """(source, lang, topic, p): the largest rates with the raked proportions; cells without tokens have rate 1, as they weigh nothing.
+
+    The cells wanted most that together have at most the share `spare` of the weights do not set the
+    scale: they keep all they have, which is less than their share, instead of pulling all others down.
+    """
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     x = raked.withColumn("rate", rate)
-    most = F.broadcast(x.agg(F.max("rate").alias("most")))
-    return x.crossJoin(most).select(*MARGINS, F.when(F.col("rate").isNull(), 1.0).when(F.col("most") > 0, F.col("rate") / F.col("most")).otherwise(0.0).alias("p"))
+    sets = F.lit(True)
+    if spare:
+        # One task, over the cells.
+        upto = F.sum("weight").over(Window.orderBy(F.desc_nulls_last("rate"), *MARGINS))
+        x = cut(x.withColumn("upto", upto).crossJoin(F.broadcast(raked.agg(F.sum("weight").alias("all")))))
+        sets = F.col("upto") > spare * F.col("all")
+    most = F.broadcast(x.where(sets).agg(F.max("rate").alias("most")))
+    p = F.when(F.col("most") > 0, F.least(F.lit(1.0), F.col("rate") / F.col("most"))).otherwise(0.0)
+    return x.crossJoin(most).select(*MARGINS, F.when(F.col("rate").isNull(), 1.0).otherwise(p).alias("p"))
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
@@ -118,12 +129,12 @@ def mixed(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, pow
     return out.withColumn("kept", draw(F.col(id_col), seed) < F.col("p"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, seed: str = "mix", given: dict[str, dict[str, float]] | None = None, power: float = 0.7) -> DataFrame:
-    """docs with the rows that `mixed` keeps, all columns as they were: decided in the row, from the cell's rate."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, seed: str = "mix", given: dict[str, dict[str, float]] | None = None, power: float = 0.7, spare: float = 0.0) -> DataFrame:
+    """docs with the rows that `mixed` keeps, all columns as they were: decided in the row, from the cell's rate; `spare` as for `probabilities`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cell = {"source": value("source"), "lang": value("lang"), "topic": F.coalesce((topic_of(text) if topic is None else topic).cast("string"), F.lit(""))}
     cells = cut(docs.select(*[c.alias(k) for k, c in cell.items()], tokens_of(text).alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    p = cut(probabilities(rake(cells, given, power))).select(F.struct(*MARGINS).alias("__cell"), "p")
+    p = cut(probabilities(rake(cells, given, power), spare)).select(F.struct(*MARGINS).alias("__cell"), "p")
     keyed = docs.withColumn("__cell", F.struct(*[c.alias(k) for k, c in cell.items()]))
     return keyed.join(F.broadcast(p) if small_enough(p) else p, "__cell").where(draw(F.col(id_col), seed) < F.col("p")).select(*docs.columns)

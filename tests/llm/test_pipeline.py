@@ -161,3 +161,13 @@ def test_empty_pipeline(spark, corpus, tmp_path):
         spark.read.parquet(f"{folder}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and {"doc_id", "text", "ids", "round_trip"} <= set(out.columns)
+
+
+def test_mixing_stage_moves_the_shares_and_keeps_the_corpus(spark):
+    texts = [words(30, i) for i in range(1999)] + ["licensed under it"]
+    langs = ["es" if i % 10 == 0 else "en" for i in range(1999)] + ["en"]
+    x = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(texts, langs))], DOCS).repartition(3)
+    kept = [(r.doc_id, r.lang) for r in corpus_pipeline.mixing_stage(spark, x, "").collect()]
+    share = 0.1**0.7 / (0.1**0.7 + 0.9**0.7)
+    assert abs(sum(lang == "es" for _, lang in kept) / len(kept) - share) < 0.03  # 0.177 instead of 0.1
+    assert len(kept) > 900 and {i for i in range(0, 1999, 10)} | {1999} <= {i for i, _ in kept}
